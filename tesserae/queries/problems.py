@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.operators import incremental
+from tesserae.operators import incremental, units
 from tesserae.session import load
 
 
@@ -13,7 +13,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.replay(table, version_of, runs, incremental.held_at_first(load(spark, d, "files")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found,)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.agreeing(units.common_values(load(spark, d, "extracted_values"), load(spark, d, "label_units")))
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    return units.common_values(load(spark, d, "extracted_values"), load(spark, d, "label_units"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_values)}
 
 SQL = {
     "p2_found": """
