@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import encode, mix, rank, repetition
+from tesserae.llm import encode, mix, rank, repetition, survive
 from tesserae.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank.median_rank(load(spark, d, "search_hits"), "query_id", "chunk_id", SCORES)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return survive.survivors(load(spark, d, "files"), load(spark, d, "format_trust")).select("source_path")
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survive.survivors(load(spark, d, "files"), load(spark, d, "format_trust"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(load(spark, d, "documents"))
 
@@ -48,7 +56,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_ranking, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p3_found, p3_ranking, p6_found, p6_survivors, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
 
 
 _P3 = """
@@ -64,6 +72,20 @@ ranks AS (
   FROM items),
 r AS (SELECT query_id, chunk_id, list_sort([ra, rb, rc])[2]::DOUBLE AS median_rank, (ra + rb + rc)::DOUBLE / 3 AS mean_rank FROM ranks)
 """
+_P6 = r"""
+WITH RECURSIVE cur AS (SELECT * FROM files WHERE source_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_path ORDER BY try_cast(indexed_at AS TIMESTAMPTZ) DESC NULLS LAST) = 1),
+a AS (SELECT *, trim(regexp_replace(lower(regexp_replace(regexp_extract(source_path, '[^\\\\/]*$'), '\.[A-Za-z][A-Za-z0-9]{0,4}$', '')), '[\s_]+', ' ', 'g')) AS n0 FROM cur),
+b AS (SELECT *, regexp_replace(n0, '^(копия|copy of|copy)(\s*\(\d+\))?\s+([-–—]\s+)?', '') AS n1 FROM a),
+c AS (SELECT *, trim(regexp_replace(n1, '(\s*\(\s*\d+\s*\)|\s*[-–—]?\s*\(?(копия|copy)\)?(\s*\(?\d+\)?)?)+$', '')) AS n2 FROM b),
+e AS (SELECT *, trim(regexp_replace(n2, '[\s,;(\-–—]*(изменение|изм|ревизия|рев|редакция|ред|revision|rev)\.?\s*№?\s*\d+\)?$', '')) AS n3 FROM c),
+k AS (SELECT source_path, modified_at, format, lower(trim(sha256)) AS s, trim(regexp_replace(n3, '(\d\.\d{1,4})-\d{2}$', '\1')) AS n FROM e),
+edges AS (SELECT x.source_path AS a, y.source_path AS b FROM k x JOIN k y ON x.n = y.n OR (x.s = y.s AND x.s <> '')),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+roots AS (SELECT a AS source_path, min(b) AS root FROM reach GROUP BY a),
+members AS (SELECT k.*, root, coalesce(t.trust_rank, 1073741824) AS r FROM k JOIN roots USING (source_path) LEFT JOIN format_trust t ON lower(regexp_replace(trim(k.format), '^\.', '')) = t.fmt)
+SELECT source_path FROM members QUALIFY count(*) OVER (PARTITION BY root) > 1
+  AND row_number() OVER (PARTITION BY root ORDER BY try_cast(modified_at AS TIMESTAMPTZ) DESC NULLS LAST, r, source_path) = 1
+"""
 _P10 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 r AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [] END AS r FROM w),
@@ -75,6 +97,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_ranking": _P3 + "SELECT query_id, chunk_id, median_rank, mean_rank FROM r",
         "p3_found": _P3 + "SELECT query_id, chunk_id FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, chunk_id) <= 5",
+        "p6_found": _P6,
         "p10_shares": _P10 + "SELECT doc_id, n_runs, repeated_runs, round(repeated_runs / greatest(n_runs, 1), 6) AS repeated_share FROM s",
         "p10_found": _P10 + "SELECT DISTINCT doc_id FROM s WHERE n_runs >= 20 AND repeated_runs >= 0.3 * n_runs",
     }

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 _UNSEEN = 255
-#: White_Space of Unicode.
-_BLANKS = frozenset("\t\n\v\f\r \x85\xa0                　")
+#: White_Space of Unicode.
+_BLANKS = frozenset(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _class_of = np.full(0x110000, _UNSEEN, np.uint8)
 _value_of: np.ndarray | None = None
 _BASE = np.uint64(0x9E3779B97F4A7C15)
