@@ -7,13 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import encode, mix, rank, repetition, survive
+from tesserae.llm import encode, knn, mix, neardup, rank, repetition, survive
 from tesserae.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 SCORES = {"_distance": (False, 1.0), "_relevance_score": (True, 1.0), "score": (True, 1.0)}
 
 
+def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    """Word runs of three and half of them in common, as TESTDATA.md states the cases."""
+    return neardup.NearDuplicates(load(spark, d, "parent_chunks"), "parent_id", "parent_text", run=3, threshold=0.5, rows=2, bands=16)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).found().select(F.col("a").alias("parent_id_a"), F.col("b").alias("parent_id_b"))
+
+
+def p1_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Five words and a similarity of 0.8, a row for each parent with its class and number of links."""
+    return neardup.NearDuplicates(load(spark, d, "parent_chunks"), "parent_id", "parent_text").rows()
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.NearDuplicates(load(spark, d, "parent_chunks"), "parent_id", "parent_text").groups()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     ranked = rank.median_rank(load(spark, d, "search_hits"), "query_id", "chunk_id", SCORES)
     return rank.best_of_each(ranked, "query_id", "chunk_id", 5).select("query_id", "chunk_id")
@@ -31,6 +49,16 @@ def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survive.survivors(load(spark, d, "files"), load(spark, d, "format_trust"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    index = knn.VectorIndex(load(spark, d, "documents_64"), "chunk_id", "vector", 64)
+    return index.mutual(0.9).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p7_closest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten closest of every chunk whose id is divisible by 100, against all."""
+    return knn.VectorIndex(load(spark, d, "documents_64"), "chunk_id", "vector", 64).closest()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(load(spark, d, "documents"))
 
@@ -56,7 +84,20 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_ranking, p6_found, p6_survivors, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_rows, p1_groups, p3_found, p3_ranking, p6_found, p6_survivors, p7_found, p7_closest, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
+
+
+_P1 = r"""
+WITH t AS (SELECT DISTINCT parent_id, parent_text FROM parent_chunks WHERE parent_text IS NOT NULL AND parent_id IS NOT NULL),
+w AS (SELECT parent_id, regexp_extract_all(lower(parent_text), '[\p{L}\p{N}]+') AS w FROM t),
+r AS (SELECT parent_id, unnest(list_distinct(list_transform(range(1, len(w) - RUN + 2), lambda i: array_to_string(w[i:i+RUN-1], ' ')))) AS r FROM w WHERE len(w) >= RUN),
+n AS (SELECT parent_id, count(*) AS n FROM r GROUP BY 1),
+c AS (SELECT x.parent_id AS a, y.parent_id AS b, count(*) AS c FROM r x JOIN r y ON x.r = y.r AND x.parent_id < y.parent_id GROUP BY ALL)
+"""
+
+
+def _p1_sql(run: int) -> str:
+    return _P1.replace("RUN-1", str(run - 1)).replace("RUN", str(run))
 
 
 _P3 = """
@@ -86,6 +127,14 @@ members AS (SELECT k.*, root, coalesce(t.trust_rank, 1073741824) AS r FROM k JOI
 SELECT source_path FROM members QUALIFY count(*) OVER (PARTITION BY root) > 1
   AND row_number() OVER (PARTITION BY root ORDER BY try_cast(modified_at AS TIMESTAMPTZ) DESC NULLS LAST, r, source_path) = 1
 """
+_P7 = """
+WITH v AS (SELECT DISTINCT chunk_id, vector::DOUBLE[] AS v FROM documents_64 WHERE vector IS NOT NULL AND chunk_id IS NOT NULL),
+n AS (SELECT chunk_id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
+u AS (SELECT chunk_id, list_transform(v, lambda x: x / n) AS v FROM n WHERE n > 0),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.v, b.v) AS c FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
+t AS (SELECT a, b FROM p WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) <= 10)
+SELECT x.a AS chunk_id_a, x.b AS chunk_id_b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b
+"""
 _P10 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 r AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [] END AS r FROM w),
@@ -95,9 +144,11 @@ s AS (SELECT doc_id, len(r)::BIGINT AS n_runs, (len(r) - len(list_distinct(r))):
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _p1_sql(3) + "SELECT a AS parent_id_a, b AS parent_id_b FROM c JOIN n p ON a = p.parent_id JOIN n q ON b = q.parent_id WHERE c >= 0.5 * (p.n + q.n - c)",
         "p3_ranking": _P3 + "SELECT query_id, chunk_id, median_rank, mean_rank FROM r",
         "p3_found": _P3 + "SELECT query_id, chunk_id FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, chunk_id) <= 5",
         "p6_found": _P6,
+        "p7_found": _P7,
         "p10_shares": _P10 + "SELECT doc_id, n_runs, repeated_runs, round(repeated_runs / greatest(n_runs, 1), 6) AS repeated_share FROM s",
         "p10_found": _P10 + "SELECT DISTINCT doc_id FROM s WHERE n_runs >= 20 AND repeated_runs >= 0.3 * n_runs",
     }
