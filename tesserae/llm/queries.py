@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import encode, knn, mix, neardup, rank, repetition, survive
+from tesserae.llm import encode, knn, mix, neardup, noise, rank, repetition, survive
 from tesserae.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,20 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank.median_rank(load(spark, d, "search_hits"), "query_id", "chunk_id", SCORES)
 
 
+def _scans(spark: SparkSession, d: str) -> noise.Scans:
+    a = load(spark, d, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("row_key"), "text")
+    b = load(spark, d, "parent_chunks").select(F.lit("parent_chunks").alias("src"), F.col("parent_id").alias("row_key"), F.col("parent_text").alias("text"))
+    return noise.Scans(a.union(b))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).found()
+
+
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).repaired()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return survive.survivors(load(spark, d, "files"), load(spark, d, "format_trust")).select("source_path")
 
@@ -84,7 +98,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_rows, p1_groups, p3_found, p3_ranking, p6_found, p6_survivors, p7_found, p7_closest, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_rows, p1_groups, p3_found, p3_ranking, p4_found, p4_texts, p6_found, p6_survivors, p7_found, p7_closest, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
 
 
 _P1 = r"""
