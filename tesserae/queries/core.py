@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("problems",)
+_MODULES = ("retrieval", "problems")
 
 
 def _each():
