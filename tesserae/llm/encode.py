@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import lexicon
+from tesserae.llm.frequent import most_frequent
 from tesserae.llm.spans import chunks, pretokens
-from tesserae.session import fresh_path, local_file, write_bytes
+from tesserae.session import checkpoint, fresh_path, local_file, write_bytes
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bound of the lexicon that the driver compiles; other words are merged on the workers.
@@ -99,7 +100,7 @@ class _Counts:
 def compile_lexicon(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, size: int = LEXICON_SIZE) -> str:
     """Write the transducer of the corpus's frequent words to the shared folder; its path."""
     spark = docs.sparkSession
-    top = word_counts(docs, text).filter("n > 1").orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    top = most_frequent(checkpoint(word_counts(docs, text).filter("n > 1")), "n", size)
     enc = ranks_encoding(tokenizer)
     path = fresh_path(spark, "lexicon")
     write_bytes(spark, path, lexicon.build({bytes(r[0]): enc._encode_single_piece(bytes(r[0])) for r in top}))
