@@ -52,7 +52,7 @@ def cache_split(chunks: DataFrame, cache: DataFrame, vectors: DataFrame) -> Data
     c = chunks.select("chunk_id", F.sha2("text", 256).alias("text_hash"))
     known = cache.select("text_hash", "vector_id").dropDuplicates(["text_hash"])
     alive = vectors.select(F.col("chunk_id").alias("vector_id"), F.lit(True).alias("_alive")).dropDuplicates(["vector_id"])
-    return c.join(known, "text_hash", "left").join(alive, "vector_id", "left").select("chunk_id", F.when("_alive", F.col("vector_id")).alias("vector_id"), F.coalesce("_alive", F.lit(False)).alias("reused"))
+    return c.join(known, "text_hash", "left").join(alive, "vector_id", "left").select("chunk_id", F.when(F.col("_alive"), F.col("vector_id")).alias("vector_id"), F.coalesce("_alive", F.lit(False)).alias("reused"))
 
 
 def exact_duplicates(files: DataFrame) -> DataFrame:

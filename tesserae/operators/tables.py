@@ -58,7 +58,7 @@ def text_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = F.transform(F.split(text, r"\r\n|\n|\r"), lambda x, i: F.struct(i.alias("i"), F.transform(F.split(x, r"\|"), lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))).alias("c")))
     rows = F.filter(lines, lambda x: F.size(x["c"]) >= 3)
     d = docs.filter(F.col(text).contains("|")).select(key, rows.alias("_r")).filter("size(_r) > 1")
-    d = d.select(key, F.element_at("_r", 1)["c"].alias("headers"), F.explode(F.slice("_r", 2, 1_000_000)).alias("x"))
+    d = d.select(key, F.get("_r", F.lit(0))["c"].alias("headers"), F.explode(F.slice("_r", 2, 1_000_000)).alias("x"))
     return d.filter("size(x.c) = size(headers)").select(key, (F.col("x.i") + 1).alias("line_no"), "headers", F.col("x.c").alias("cells"))
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("retrieval", "problems")
+_MODULES = ("retrieval", "analytics", "corpus", "problems")
 
 
 def _each():
