@@ -103,6 +103,7 @@ class NearDuplicates:
     def __init__(self, texts: DataFrame, key: str, text: str, run: int = 5, threshold: float = 0.8, rows: int = 4, bands: int = 12) -> None:
         self.key = key
         every = classes_of(texts, key, text)
+        self.keys = texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
         self.members = checkpoint(every.select("key", "class").distinct())
         one = every.groupBy("class").agg(F.min("key").alias("key"), F.min_by("text", "key").alias("text"))
         self.pairs = checkpoint(similar(one.select(F.col("class").alias("key"), "text"), run, threshold, rows, bands))
@@ -128,10 +129,11 @@ class NearDuplicates:
         return every.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def rows(self) -> DataFrame:
-        """(key, class, links): each row's class of copies and its number of near classes."""
+        """(key, class_id, links): each row's class of copies, by its first member, and its number of near
+        classes; a row for every key, without a class where there are no words."""
         ends = self.pairs.select(F.col("a").alias("class")).union(self.pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
         names = self.members.groupBy("class").agg(F.min("key").alias("first"))
-        out = self.members.join(names, "class").join(ends, "class", "left")
+        out = self.keys.join(self.members.join(names, "class").join(ends, "class", "left"), "key", "left")
         return out.select(F.col("key").alias(self.key), F.col("first").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
     def groups(self) -> DataFrame:
