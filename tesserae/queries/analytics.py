@@ -244,7 +244,7 @@ SQL = {
     "count_table_values": f"WITH {_TYPED} SELECT 'qty' AS field, count(*) > 0 AS matched, count(*) AS count, CASE WHEN count(*) > 0 THEN 'PARTIAL' ELSE 'NOT_FOUND' END AS status FROM m",
     "totals_by_unit": f"WITH {_TYPED} SELECT unit_key, round(sum(qty), 4) AS total, count(*) AS count FROM m WHERE qty IS NOT NULL GROUP BY 1",
     "mixed_units_status": f"WITH {_TYPED}, u AS (SELECT count(DISTINCT unit_key) FILTER (qty IS NOT NULL) AS u, count(*) AS n, sum(qty) AS t FROM m) SELECT 'qty' AS field, n > 0 AS matched, CASE WHEN u <= 1 AND n > 0 THEN round(t, 4) END AS total, u AS units, CASE WHEN n = 0 THEN 'NOT_FOUND' WHEN u > 1 THEN 'MIXED_UNITS' ELSE 'VERIFIED' END AS status FROM u",
-    "field_fallback": f"WITH {_TYPED} SELECT 'qty' AS field, round(sum(qty), 4) AS total, count(qty) AS count, 'VERIFIED' AS status, true AS fallback FROM m WHERE unit_key = 'шт' HAVING count(qty) > 0",
+    "field_fallback": f"WITH {_TYPED} SELECT CASE WHEN count(qty) > 0 THEN 'qty' ELSE 'amount' END AS field, CASE WHEN count(qty) > 0 THEN round(sum(qty), 4) END AS total, count(qty) AS count, CASE WHEN count(*) = 0 THEN 'NOT_FOUND' ELSE 'VERIFIED' END AS status, count(qty) > 0 AS fallback FROM m WHERE unit_key = 'шт'",
     "group_by_column": f"WITH {_TYPED} SELECT unit AS value, count(*) AS count FROM r WHERE unit <> '' GROUP BY 1",
     "rows_by_section": f"WITH {_TT} SELECT source, count(*) AS rows FROM tt JOIN (SELECT doc_id, source FROM documents) USING (doc_id) WHERE source IS NOT NULL GROUP BY 1",
     "column_signature_groups": f"WITH {_TT}, g AS (SELECT array_to_string(headers, '|') AS headers, count(*) AS rows FROM tt GROUP BY 1) SELECT headers, rows, row_number() OVER (ORDER BY rows DESC, headers) AS position FROM g",
