@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 _STEPS = 32
@@ -25,3 +25,15 @@ def most_frequent(counts: DataFrame, n: str, size: int) -> list[Row]:
     if cut is None:
         return []
     return sorted(counts.filter((F.col(n) > 0) & (step >= cut)).collect(), key=lambda r: (-r[n], r))
+
+
+def sample_texts(texts: DataFrame, text: str, size: int, condition: Column) -> list[str]:
+    """About size different texts that meet a condition, chosen by their hash; at most twice as many.
+
+    Every task sends its share only, and copies of a text count once.
+    """
+    rows = texts.select(F.col(text).alias("t")).filter(F.col("t").isNotNull() & condition)
+    n = rows.count()
+    part = min(1_000_000_000, size * 1_000_000_000 // max(1, n))
+    some = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_000_000)) < part).distinct()
+    return sorted(r[0] for r in some.limit(2 * size).collect())

@@ -78,8 +78,9 @@ class Mixture:
 
     def shares(self) -> DataFrame:
         """(source, target_share, actual_share, n_texts, n_uses, n_tokens), a row for each target."""
-        c = self.chosen().groupBy("source", "target_share").agg(F.count("*").alias("n_texts"), F.sum("uses").cast("bigint").alias("n_uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("n_tokens"))
-        out = c.withColumn("actual_share", F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy()))
+        used = self.chosen().groupBy("source").agg(F.count("*").alias("n_texts"), F.sum("uses").cast("bigint").alias("n_uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("n_tokens"))
+        c = self.plan.select("source", "target_share").join(used, "source", "left").na.fill(0, ["n_texts", "n_uses", "n_tokens"])
+        out = c.withColumn("actual_share", F.coalesce(F.try_divide(F.col("n_tokens"), F.sum("n_tokens").over(Window.partitionBy())), F.lit(0.0)))
         if self.missing:
             none = c.sparkSession.createDataFrame(self.missing, "source string, target_share double").selectExpr("source", "target_share", "0L n_texts", "0L n_uses", "0L n_tokens", "0D actual_share")
             out = out.unionByName(none)

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.spans import char_values, chunks, classes, code_points, mix, run_hashes, words
+from tesserae.llm.frequent import sample_texts
+from tesserae.llm.spans import chunks, classes, code_points, mix, run_hashes, words
 
 RUN = 5
-#: Most texts the field is fitted on.
+#: About how many texts the field is fitted on; never more than twice as many.
 SAMPLE = 80
 LEAST_RUNS, LEAST_SHARE = 20, 0.3
 _EDGES = np.array([0.0, 0.1, 0.25, 0.5, 0.75])
@@ -185,8 +186,7 @@ def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Null, empty and blank texts, and texts of fewer than five words, have no run, a repeated share
     of 0 and a content share of 1. Whole texts are read; other columns are ignored.
     """
-    sample = docs.select(F.col(text).cast("string").alias("t")).filter(F.length("t") > 200).orderBy(F.xxhash64("t"), "t").limit(SAMPLE).collect()
-    field = fit_field([r[0] for r in sample])
+    field = fit_field(sample_texts(docs, text, SAMPLE, F.length("t") > 200))
     names = [key, "n_runs", "repeated_runs", "repeated_share", "n_words", "content_share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

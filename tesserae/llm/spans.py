@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
+OTHER, LETTER, NUMBER, BLANK, UNKNOWN = 0, 1, 2, 3, 4
 _UNSEEN = 255
 #: White_Space of Unicode.
 _BLANKS = frozenset(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -23,13 +23,13 @@ CHUNK_CHARS = 1_000_000
 
 
 def classes(codes: np.ndarray) -> np.ndarray:
-    """The class of each code point; the table is filled for those that occur."""
+    """The class of each code point; the table is filled for those that occur. UNKNOWN are those our tables don't name yet."""
     got = _class_of[codes]
     if (got == _UNSEEN).any():
         for c in np.unique(codes[got == _UNSEEN]).tolist():
             char = chr(c)
             kind = unicodedata.category(char)[0]
-            _class_of[c] = BLANK if char in _BLANKS else LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
+            _class_of[c] = BLANK if char in _BLANKS else LETTER if kind == "L" else NUMBER if kind == "N" else UNKNOWN if unicodedata.category(char) == "Cn" else OTHER
         got = _class_of[codes]
     return got
 
@@ -123,8 +123,15 @@ def pretokens(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.
     plain = [t if t and "'" not in t else "" for t in texts]
     odd = np.array([i for i, t in enumerate(texts) if t and "'" in t], np.int64)
     codes, starts = code_points(plain)
-    n = len(codes)
     kind = classes(codes)
+    if (kind == UNKNOWN).any():
+        new = np.unique(np.searchsorted(starts, np.flatnonzero(kind == UNKNOWN), "right") - 1)
+        for i in new.tolist():
+            plain[i] = ""
+        odd = np.concatenate([odd, new])
+        codes, starts = code_points(plain)
+        kind = classes(codes)
+    n = len(codes)
     first = np.zeros(n + 1, bool)
     first[starts] = True
     begin = np.zeros(n, bool)
