@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +44,27 @@ def shared_root(spark: SparkSession) -> str:
     return now.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each application, through the shared folder.
+
+    Workers import it by name; they need not have it installed.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    at = f"{shared_root(spark)}/{here.name}-{uuid.uuid4().hex}.zip"
+    write_bytes(spark, at, packed.getvalue())
+    sc.addPyFile(at)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
@@ -81,4 +105,6 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of a folder. Also ships the package, as whatever follows may need it on the executors."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
