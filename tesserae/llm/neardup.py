@@ -76,19 +76,22 @@ def similar(docs: DataFrame, run: int, threshold: float, rows: int, bands: int,
 
     Keys must be distinct and texts of different words, so that no group of copies meets in a bucket.
     """
-    s = checkpoint(sketches(docs, run, rows, bands, seed))
+    # short numbers stand for the keys, so that buckets are small and aggregate by hash; written, they stay the same
+    s = checkpoint(sketches(docs, run, rows, bands, seed).withColumn("id", F.monotonically_increasing_id()))
     pair = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(i, j, F.get("bands", i), F.get("bands", j + bands)))))
-    buckets = s.select("key", F.explode(pair).alias("bucket"))
+    buckets = s.select("id", F.explode(pair).alias("bucket"))
     # most buckets hold one text; only those of several go on to meet each other
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).filter("n > 1")
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("z")).filter("n > 1")
+    full = checkpoint(full)
     two = full.filter("n = 2").select("a", F.col("z").alias("b"))
     more = full.filter("n > 2").select("bucket")
     several = checkpoint(buckets.join(more, "bucket", "left_semi"))
-    x, y = several.select("bucket", F.col("key").alias("a")), several.select("bucket", F.col("key").alias("b"))
+    x, y = several.select("bucket", F.col("id").alias("a")), several.select("bucket", F.col("id").alias("b"))
     candidates = two.union(x.join(y, "bucket").filter("a < b").select("a", "b")).distinct()
-    left, right = s.select(F.col("key").alias("a"), F.col("runs").alias("ra")), s.select(F.col("key").alias("b"), F.col("runs").alias("rb"))
+    left = s.select(F.col("id").alias("a"), F.col("key").alias("ka"), F.col("runs").alias("ra"))
+    right = s.select(F.col("id").alias("b"), F.col("key").alias("kb"), F.col("runs").alias("rb"))
     common = F.size(F.array_intersect("ra", "rb"))
-    both = candidates.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("ra") + F.size("rb")).alias("t"))
+    both = candidates.join(left, "a").join(right, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), common.alias("c"), (F.size("ra") + F.size("rb")).alias("t"))
     return both.select("a", "b", (F.col("c") / (F.col("t") - F.col("c"))).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
