@@ -14,13 +14,22 @@ EXACT_HEADERS = {
     "марка": "mark", "тип": "mark", "тип (наименование)": "mark", "тип (наименование) оборудования": "mark", "примечание": "skip", "масса ед., кг": "skip",
 }
 HEADER_HINTS = {
-    "pos": "№|номер|поз|п/п", "name": "наименование|наимен|работ|оборудован|материал|ресурс|объект", "section": "раздел|глава|этап",
-    "amount_mat": "стоимость материал|материалы, руб|сумма материал", "amount_work": "оплата труда|стоимость работ|зп|сумма работ", "work_done": "выполнено|отчёт|отчет",
-    "price": "цена|стоимость ед|единичная|расцен", "amount": "сумма|итого|всего|стоимость", "qty_per_unit": "расход|на единицу", "qty": "кол-во|колич|количество|объем|объём|масса|площад|qty",
-    "unit": "ед.изм|ед. изм|единица|изм.|ед.", "code": "шифр|код|артикул", "mark": "марка|тип|модель",
-}
+    "pos": ("№", "номер", "поз", "п/п",),
+    "name": ("наименование", "наимен", "работ", "оборудован", "материал", "ресурс", "объект",),
+    "section": ("раздел", "глава", "этап",),
+    "amount_mat": ("стоимость материал", "материалы, руб", "сумма материал",),
+    "amount_work": ("оплата труда", "стоимость работ", "зп", "сумма работ",),
+    "work_done": ("выполнено", "отчёт", "отчет",),
+    "price": ("цена", "стоимость ед", "единичная", "расцен",),
+    "amount": ("сумма", "итого", "всего", "стоимость",),
+    "qty_per_unit": ("расход", "на единицу",),
+    "qty": ("кол-во", "колич", "количество", "объем", "объём", "масса", "площад", "qty",),
+    "unit": ("ед.изм", "ед. изм", "единица", "изм.", "ед.",),
+    "code": ("шифр", "код", "артикул",),
+    "mark": ("марка", "тип", "модель",),
+}
 #: Words of a unit column; fields whose values are numbers.
-UNIT_WORDS = frozenset("шт м м2 м² м3 м³ мм кг т компл к-т пог.м п.м л %".split())
+UNIT_WORDS = frozenset(("шт", "м", "м2", "м²", "м3", "м³", "мм", "кг", "т", "компл", "к-т", "пог.м", "п.м", "л", "%"))
 NUMBERS = ("qty", "qty_per_unit", "price", "amount", "amount_mat", "amount_work", "work_done")
 TEXTS = ("pos", "name", "unit", "code", "mark", "section")
 
@@ -40,7 +49,7 @@ def header_field(c: Column) -> Column:
     out: Column = F.lit("skip")
     for field, hints in reversed(HEADER_HINTS.items()):
         hit = F.lit(False)
-        for x in hints.split("|"):
+        for x in hints:
             hit = hit | h.contains(x)
         out = F.when(hit & mark if field == "mark" else hit, F.lit(field)).otherwise(out)
     exact: Column = F.lit(None).cast("string")
@@ -193,7 +202,7 @@ class Grid:
         if h in EXACT_HEADERS:
             return EXACT_HEADERS[h]
         for field, hints in HEADER_HINTS.items():
-            if any(x in h for x in hints.split("|")):
+            if any(x in h for x in hints):
                 if field == "mark" and (not re.search(r"(?<!\w)(тип|марка|модель)(?!\w)", h) or re.search(r",\s*(в|вт|квт|а|гц|дб|дба|мм|см|м|кг|т|па|кпа|%|°c|об/мин|м3/ч|л/с|ч)\s*$|(?<!\w)(дб|квт|вт|гц)(?!\w)", h)):
                     continue
                 return field

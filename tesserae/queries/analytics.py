@@ -208,7 +208,7 @@ def _field(h: str) -> str:
     mark = rf"(regexp_matches({h}, '(^|[^\p{{L}}\p{{N}}_])(тип|марка|модель)($|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches({h}, ',\s*(в|вт|квт|а|гц|дб|дба|мм|см|м|кг|т|па|кпа|%|°c|об/мин|м3/ч|л/с|ч)\s*$|(^|[^\p{{L}}\p{{N}}_])(дб|квт|вт|гц)($|[^\p{{L}}\p{{N}}_])'))"
     out = "CASE " + " ".join(f"WHEN {h} = '{k}' THEN '{v}'" for k, v in tables.EXACT_HEADERS.items())
     for field, hints in tables.HEADER_HINTS.items():
-        cond = "(" + " OR ".join(f"contains({h}, '{x}')" for x in hints.split("|")) + ")"
+        cond = "(" + " OR ".join(f"contains({h}, '{x}')" for x in hints) + ")"
         out += f" WHEN {cond}{f' AND {mark}' if field == 'mark' else ''} THEN '{field}'"
     return out + " ELSE 'skip' END"
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators.tables import expand_spans
+
 #: Files beyond this size are not parsed in line.
 LARGE = 30 * 1024 * 1024
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -101,8 +103,6 @@ def docx_parts(data: bytes) -> Iterator[tuple[str, object]]:
 
 
 def docx_file(data: bytes) -> tuple[str, dict[str, str]]:
-    from tesserae.operators.tables import expand_spans
-
     out, tables = [], 0
     for kind, x in docx_parts(data):
         if kind == "table":
@@ -113,6 +113,14 @@ def docx_file(data: bytes) -> tuple[str, dict[str, str]]:
     return "\n".join(out), {"tables": str(tables)}
 
 
+def place(reference: str) -> tuple[int, int]:
+    """Row and column, from 0, of a cell's reference such as AB12."""
+    column = 0
+    for c in re.sub(r"\d", "", reference):
+        column = column * 26 + ord(c) - 64
+    return int(re.sub(r"\D", "", reference)) - 1, column - 1
+
+
 def xlsx_sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
     """(name, grid) of each sheet: values only, merged cells in every place they cover."""
     z = zipfile.ZipFile(io.BytesIO(data))
@@ -121,7 +129,6 @@ def xlsx_sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_S}si")]
     titles = [s.get("name", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")] if "xl/workbook.xml" in names else []
-    place = lambda ref: (int(re.sub(r"\D", "", ref)) - 1, __import__("functools").reduce(lambda n, c: n * 26 + ord(c) - 64, re.sub(r"\d", "", ref), 0) - 1)
     sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n.rsplit("/", 1)[1])))
     for i, n in enumerate(sheets):
         root = ElementTree.fromstring(z.read(n))
@@ -154,7 +161,7 @@ def xlsx_file(data: bytes) -> tuple[str, dict[str, str]]:
 
 #: Suffix -> reader of bytes; callers may add their own (OCR, PDF, models), which stay off by default.
 PARSERS: dict[str, Callable[[bytes], tuple[str, dict[str, str]]]] = {"txt": text_file, "md": text_file, "py": text_file, "json": json_file, "csv": csv_file, "docx": docx_file, "xlsx": xlsx_file}
-GRIDS: dict[str, Callable[[bytes], list[list[list[str]]]]] = {"csv": lambda d: [csv_grid(d)], "xlsx": lambda d: [g for _, g in xlsx_sheets(d)], "docx": lambda d: [__import__("tesserae.operators.tables", fromlist=["x"]).expand_spans(x) for k, x in docx_parts(d) if k == "table"]}
+GRIDS: dict[str, Callable[[bytes], list[list[list[str]]]]] = {"csv": lambda d: [csv_grid(d)], "xlsx": lambda d: [g for _, g in xlsx_sheets(d)], "docx": lambda d: [expand_spans(x) for k, x in docx_parts(d) if k == "table"]}
 
 DOCUMENT = "source_path string, file_name string, format string, text string, created_at timestamp, modified_at timestamp, sha256 string, error string, extra map<string,string>"
 
