@@ -275,6 +275,19 @@ f AS (SELECT *, CASE k WHEN 0 THEN v WHEN 1 THEN v1 WHEN 2 THEN v2 ELSE v3 END A
 SELECT doc_id, record, label, replace(x.v, ',', '.')::DOUBLE AS value, x.u AS unit, CASE WHEN k = 0 THEN 0.82 WHEN x.u <> '' THEN 0.88 ELSE 0.72 END::DOUBLE AS confidence, n + k AS line_no FROM f""",
     "chunk_windows": f"""WITH w AS (SELECT doc_id, {_words} AS w FROM documents), s AS (SELECT doc_id, w, unnest(CASE WHEN len(w) > 0 THEN range(1, greatest(1, len(w) - 20) + 1, 130) ELSE [] END) AS s FROM w)
 SELECT doc_id, (s - 1) // 130 AS no, md5(array_to_string(w[s:s + 149], ' ')) AS digest, len(w[s:s + 149])::BIGINT AS words FROM s""",
+    "chunk_parent_child": rf"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(#{{1,3}} )', chr(1) || '\1', 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, list_filter(s, lambda x: len(trim(x, ' ')) > 0) AS s FROM t), u AS (SELECT doc_id, unnest(list_zip(range(0, len(s)), s)) AS x FROM f),
+w AS (SELECT doc_id, x[1] AS sec, {_words.replace('text', 'x[2]')} AS w FROM u),
+p AS (SELECT doc_id, sec, s AS ps, w[s:s + 999] AS p FROM (SELECT doc_id, sec, w, unnest(CASE WHEN len(w) > 0 THEN range(1, greatest(1, len(w) - 100) + 1, 900) ELSE [] END) AS s FROM w)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec, ps) - 1 AS pno FROM p),
+c AS (SELECT doc_id, pno, s, p[s:s + 149] AS c FROM (SELECT *, unnest(range(1, greatest(1, len(p) - 20) + 1, 130)) AS s FROM n)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pno, s) - 1 AS cno, substr(sha256(doc_id::VARCHAR), 1, 8) AS h FROM c)
+SELECT doc_id, h || '_p_' || lpad(pno::VARCHAR, 4, '0') AS parent_id, h || '_c_' || lpad(cno::VARCHAR, 4, '0') AS chunk_id, md5(array_to_string(c, ' ')) AS digest FROM k""",
+    "quote_locator": r"""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x{A0}\x{202F}\x{2009}]+', ' ', 'g'))) AS t FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id AS quote_id, list_filter(string_split(lower(trim(regexp_replace(substr(text, 1, 300), '[\s\x{A0}\x{202F}\x{2009}]+', ' ', 'g'))), ' '), lambda w: len(w) > 0) AS w FROM documents WHERE length(text) > 300 AND lang = 'ru' ORDER BY doc_id LIMIT 5),
+p AS (SELECT quote_id, k, array_to_string(w[least(3, len(w) - k) + 1:least(3, len(w) - k) + k], ' ') AS p FROM q, (SELECT unnest([12, 8, 5]) AS k) WHERE len(w) >= k),
+h AS (SELECT quote_id, doc_id, k FROM p JOIN n ON contains(t, p)), b AS (SELECT * FROM h QUALIFY k = max(k) OVER (PARTITION BY quote_id))
+SELECT quote_id, doc_id, row_number() OVER (PARTITION BY quote_id ORDER BY doc_id) AS place FROM b QUALIFY place <= 3""",
     "heading_split": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(#{1,3} )', chr(1) || '\1', 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL),
 f AS (SELECT doc_id, list_filter(s, lambda x: len(trim(x, ' ')) > 0) AS s FROM t), u AS (SELECT doc_id, unnest(list_zip(range(0, len(s)), s)) AS x FROM f) SELECT doc_id, x[1]::BIGINT AS no, md5(x[2]) AS digest FROM u""",
     "textualise_rows": f"WITH {_TT} SELECT doc_id, line_no, array_to_string(list_filter(list_transform(range(1, len(headers) + 1), lambda i: CASE WHEN len(cells[i]) > 0 THEN headers[i] || ': ' || cells[i] END), lambda x: x IS NOT NULL), '. ') AS line FROM tt",
