@@ -114,6 +114,18 @@ def _p1_sql(run: int) -> str:
     return _P1.replace("RUN-1", str(run - 1)).replace("RUN", str(run))
 
 
+_P1_ROWS = r"""
+WITH t AS (SELECT DISTINCT parent_id, parent_text FROM parent_chunks WHERE parent_id IS NOT NULL),
+w AS (SELECT parent_id, regexp_extract_all(lower(parent_text), '[\p{L}\p{N}]+') AS w FROM t),
+m AS (SELECT parent_id, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') END AS c, w FROM w),
+c AS (SELECT c, min(parent_id) AS first, any_value(w) AS w FROM m WHERE c IS NOT NULL GROUP BY c),
+r AS (SELECT first, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS r FROM c WHERE len(w) >= 5),
+n AS (SELECT first, count(*) AS n FROM r GROUP BY 1),
+x AS (SELECT a.first AS a, b.first AS b, count(*) AS k FROM r a JOIN r b ON a.r = b.r AND a.first <> b.first GROUP BY ALL),
+l AS (SELECT a AS first, count(*) AS links FROM x JOIN n p ON a = p.first JOIN n q ON b = q.first WHERE k >= 0.8 * (p.n + q.n - k) GROUP BY 1)
+SELECT m.parent_id, c.first AS class_id, coalesce(l.links, 0) AS links FROM m LEFT JOIN c USING (c) LEFT JOIN l ON l.first = c.first
+"""
+
 _P3 = """
 WITH items AS (
   SELECT query_id, chunk_id, max(CASE WHEN NOT isnan(_distance) THEN -_distance END) a,
@@ -159,6 +171,7 @@ s AS (SELECT doc_id, len(r)::BIGINT AS n_runs, (len(r) - len(list_distinct(r))):
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _p1_sql(3) + "SELECT a AS parent_id_a, b AS parent_id_b FROM c JOIN n p ON a = p.parent_id JOIN n q ON b = q.parent_id WHERE c >= 0.5 * (p.n + q.n - c)",
+        "p1_rows": _P1_ROWS,
         "p3_ranking": _P3 + "SELECT query_id, chunk_id, median_rank, mean_rank FROM r",
         "p3_found": _P3 + "SELECT query_id, chunk_id FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, chunk_id) <= 5",
         "p6_found": _P6,
