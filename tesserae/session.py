@@ -34,10 +34,12 @@ def shared_root(spark: SparkSession) -> str:
     Only where the session names none (tests on one machine) a folder of our own is set.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    now = sc.getCheckpointDir()
     if named:
+        if now is None:
+            sc.setCheckpointDir(named)
         return named.rstrip("/")
-    now = sc.getCheckpointDir()
     if now is None:
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tesserae-"))
         now = sc.getCheckpointDir()
