@@ -59,7 +59,7 @@ def header_field(c: Column) -> Column:
 
 
 def text_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, headers, cells) of the rows of pipe tables inside texts.
+    """(key, line_no, headers, fields, cells) of the rows of pipe tables inside texts; fields are what the headers name.
 
     A table's first line is its header; a line of another width or without pipes ends it. No
     shuffle: lines stay with their text.
@@ -67,13 +67,15 @@ def text_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = F.transform(F.split(text, r"\r\n|\n|\r"), lambda x, i: F.struct(i.alias("i"), F.transform(F.split(x, r"\|"), lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))).alias("c")))
     rows = F.filter(lines, lambda x: F.size(x["c"]) >= 3)
     d = docs.filter(F.col(text).contains("|")).select(key, rows.alias("_r")).filter("size(_r) > 1")
-    d = d.select(key, F.get("_r", F.lit(0))["c"].alias("headers"), F.explode(F.slice("_r", 2, 1_000_000)).alias("x"))
-    return d.filter("size(x.c) = size(headers)").select(key, (F.col("x.i") + 1).alias("line_no"), "headers", F.col("x.c").alias("cells"))
+    # the headers are read once a table, before its rows are exploded
+    d = d.select(key, "_r", F.get("_r", F.lit(0))["c"].alias("headers"))
+    d = d.select(key, "headers", F.transform("headers", header_field).alias("fields"), F.explode(F.slice("_r", 2, 1_000_000_000)).alias("x"))
+    return d.filter("size(x.c) = size(headers)").select(key, (F.col("x.i") + 1).alias("line_no"), "headers", "fields", F.col("x.c").alias("cells"))
 
 
 def typed(rows: DataFrame) -> DataFrame:
     """Rows of (headers, cells) with the unified fields; of two headers of one field the first with a value counts."""
-    fields = F.transform("headers", header_field)
+    fields = F.col("fields") if "fields" in rows.columns else F.transform("headers", header_field)
     pairs = F.arrays_zip(fields.alias("f"), F.col("cells").alias("v"))
     r = rows.withColumn("_p", pairs)
     first = lambda name: F.get(F.filter(F.transform(F.filter("_p", lambda x: x["f"] == name), lambda x: F.trim(x["v"])), lambda v: F.length(v) > 0), 0)
