@@ -76,10 +76,11 @@ def text_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
 def typed(rows: DataFrame) -> DataFrame:
     """Rows of (headers, cells) with the unified fields; of two headers of one field the first with a value counts."""
     fields = F.col("fields") if "fields" in rows.columns else F.transform("headers", header_field)
-    pairs = F.arrays_zip(fields.alias("f"), F.col("cells").alias("v"))
+    # each cell's number is read once, whatever field it turns out to be
+    pairs = F.arrays_zip(fields.alias("f"), F.col("cells").alias("v"), F.transform("cells", number).alias("n"))
     r = rows.withColumn("_p", pairs)
     first = lambda name: F.get(F.filter(F.transform(F.filter("_p", lambda x: x["f"] == name), lambda x: F.trim(x["v"])), lambda v: F.length(v) > 0), 0)
-    number_of = lambda name: F.get(F.filter(F.transform(F.filter("_p", lambda x: x["f"] == name), lambda x: number(x["v"])), lambda v: v.isNotNull()), 0)
+    number_of = lambda name: F.get(F.filter(F.transform(F.filter("_p", lambda x: x["f"] == name), lambda x: x["n"]), lambda v: v.isNotNull()), 0)
     cols = {f: first(f) for f in TEXTS} | {f: number_of(f) for f in NUMBERS}
     return r.withColumns(cols).withColumn("unit_key", unit(F.col("unit"))).drop("_p")
 
