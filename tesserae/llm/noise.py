@@ -195,11 +195,68 @@ def explained(read: str, true: str) -> tuple[int, int]:
     return best[len(b), len(a)]
 
 
+_SEEN = sorted({c for pair in LOOKS for x in pair for c in x})
+_PLACE = np.zeros(0x3000, np.uint8)
+_PLACE[[ord(c) for c in _SEEN]] = np.arange(1, len(_SEEN) + 1)
+_ONE = np.zeros((len(_SEEN) + 1,) * 2, bool)
+_TWO = np.zeros((len(_SEEN) + 1,) * 3, bool)
+for _a, _b in LOOKS:
+    (_ONE if len(_b) == 1 else _TWO)[tuple(_PLACE[[ord(c) for c in _a + _b]])] = True
+
+
+def explained_all(reads: list[str], trues: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``explained`` of many pairs at once: the same steps in the same order, each for all pairs."""
+    rest = [difference(r, t) for r, t in zip(reads, trues)]
+    la, lb = (np.array([len(x[i]) for x in rest], np.int64) for i in (0, 1))
+    size = np.maximum(la, lb)
+    looks, edits = np.zeros(len(rest), np.int64), np.where(size > 14, size, 0)
+    for low, high in ((0, 3), (3, 6), (6, 9), (9, 14)):
+        rows = np.flatnonzero((size > low) & (size <= high))
+        if not len(rows):
+            continue
+        # padded to one length, a column of codes for each place
+        a, b = (np.array([rest[r][i] for r in rows], f"U{high}").view(np.uint32).reshape(-1, high).T for i in (0, 1))
+        pa_, pb = (np.where(x < len(_PLACE), _PLACE[np.minimum(x, len(_PLACE) - 1)], 0) for x in (a, b))
+        # 64 times the cost, and the edits; a later way must cost less to be taken
+        better = lambda now, new: np.where(new >> 6 < now >> 6, new, now)
+        look, edit, never = 64, 5 * 64 + 1, np.full(len(rows), 1 << 14, np.int16)
+        last: list[np.ndarray] = []
+        for i in range(high + 1):
+            row: list[np.ndarray] = []
+            for j in range(high + 1):
+                v = never if i or j else np.zeros(len(rows), np.int16)
+                if i:
+                    if j > 1:
+                        v = better(v, np.where(_TWO[pb[i - 1], pa_[j - 2], pa_[j - 1]], last[j - 2] + look, never))
+                    if j:
+                        cost = np.where(b[i - 1] == a[j - 1], 0, np.where(_ONE[pb[i - 1], pa_[j - 1]], look, edit)).astype(np.int16)
+                        v = better(v, last[j - 1] + cost)
+                    v = better(v, last[j] + np.int16(edit))
+                if j:
+                    v = better(v, row[j - 1] + np.int16(edit))
+                row.append(v)
+            last = row
+            at = np.flatnonzero(lb[rows] == i)
+            if len(at):
+                v = np.stack(row)[la[rows[at]], at].astype(np.int64)
+                edits[rows[at]] = v & 63
+                looks[rows[at]] = (v >> 6) - 5 * (v & 63)
+    return looks, edits
+
+
 def pair_features(read: str, n: float, true: str, m: float, shared: float) -> list[float]:
     looks, edits = explained(read, true)
     return [looks, edits, len(true), shared / max(1, len(true) + 1), float(np.log1p(m)), float(np.log(m / n)), float(one_script(read)), (looks + 2 * edits) / len(true)]
 
 
+def features_all(reads: list[str], n: np.ndarray, trues: list[str], m: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """``pair_features`` of many pairs, a row each."""
+    looks, edits = explained_all(reads, trues)
+    size = np.array([len(t) for t in trues], np.int64)
+    pure = {w: one_script(w) for w in set(reads)}
+    return np.stack([looks, edits, size, shared / np.maximum(1, size + 1), np.log1p(m), np.log(m / n), np.array([pure[w] for w in reads], bool), (looks + 2 * edits) / size], 1).astype(float)
+
+
 def bigrams(word: str) -> set[str]:
     w = f"^{word}$"
     return {w[i : i + 2] for i in range(len(w) - 1)}
@@ -258,19 +315,19 @@ def corrections(vocab: DataFrame) -> DataFrame:
     s = s.withColumn("len", F.explode(F.array(*(F.length("word") - i for i in range(3)))))
     hits = s.join(d, ["g", "len"]).filter((F.col("m") >= RATIO * F.col("n")) & (F.col("word") != F.col("true")))
     shared = hits.groupBy("word", "true").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("len").alias("len"))
-    shared = shared.filter(F.col("shared") >= F.greatest(F.lit(1), F.least(F.col("len") - 3, F.ceil(F.col("len") / 3))))
-    top = Window.partitionBy("word").orderBy(F.desc("shared"), F.desc("m"), "true")
-    few = shared.withColumn("k", F.row_number().over(top)).filter("k <= 12")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("word", "n", "true", "m", "shared"))))
-            x = np.array([pair_features(*r) for r in rows]) if rows else np.zeros((0, 8))
-            yield pa.record_batch([b.column("word"), b.column("true"), pa.array(model.predict(x))], ["word", "correction", "p"])
-
-    scored = few.select("word", "n", "true", "m", "shared").mapInArrow(rank, "word string, correction string, p double")
+            reads, trues = b.column("word").to_pylist(), b.column("true").to_pylist()
+            n, m, k = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "m", "shared"))
+            p = model.predict(features_all(reads, n, trues, m, k)) if reads else np.zeros(0)
+            likely = pa.array(p >= ACCEPT)
+            yield pa.record_batch([b.column("word"), b.column("true"), pa.array(p)], ["word", "correction", "p"]).filter(likely)
+
+    # every candidate is scored: neither the bigrams it shares nor its place among the others leave one out
+    scored = shared.select("word", "n", "true", "m", "shared").mapInArrow(rank, "word string, correction string, p double")
     best = scored.groupBy("word").agg(F.max(F.struct("p", "correction")).alias("b"))
-    return best.select("word", F.col("b.correction").alias("correction"), F.col("b.p").alias("p")).filter(F.col("p") >= ACCEPT)
+    return best.select("word", F.col("b.correction").alias("correction"), F.col("b.p").alias("p"))
 
 
 # lines

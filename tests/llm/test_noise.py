@@ -62,3 +62,20 @@ def test_repair(scans):
 
 def test_empty(spark):
     assert noise.Scans(spark.createDataFrame([], "src string, row_key string, text string")).found().count() == 0
+
+
+def test_all_differences():
+    rng = np.random.default_rng(4)
+    letters = list("оаермнилвы08lrn†buсxяfx")
+    words = ["".join(rng.choice(letters, rng.integers(1, 19))) for _ in range(4000)]
+    reads = [w[: (p := int(rng.integers(0, len(w))))] + str(rng.choice(letters)) + w[p + 1 :] for w in words[:2000]] + words[:1000][::-1] + ["rnoisture"] * 1000
+    looks, edits = noise.explained_all(reads, words)
+    assert list(zip(looks.tolist(), edits.tolist())) == [noise.explained(r, t) for r, t in zip(reads, words)]
+
+
+def test_every_candidate_is_ranked(spark):
+    near = [f"р{a}{b}{c}" for a, b, c in zip("аоуыияюаоуыияюаоуы", "клмнтспвдзбгклмнтс", "аоыияуаоыияуаоыияу")]
+    vocab = [(w, 400) for w in WORDS if len(w) > 2] + [(w, 900) for w in near] + [("реже", 300), ("рeжe", 1)]
+    assert len(near) > 12 and len({w for w, _ in vocab}) == len(vocab)
+    got = {r["word"]: r["correction"] for r in noise.corrections(spark.createDataFrame(vocab, "word string, n bigint")).collect()}
+    assert got.get("рeжe") == "реже"
