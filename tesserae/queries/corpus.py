@@ -8,7 +8,7 @@ from tesserae.functions import text as T
 from tesserae.operators import corpus, graph
 from tesserae.operators.incremental import current_files, usable
 from tesserae.plans import routing
-from tesserae.queries.retrieval import _CUR, CH, chunks
+from tesserae.queries.retrieval import _CUR, CH, LIVE, chunks
 from tesserae.session import load
 from tesserae.streaming import events as ev
 
@@ -27,6 +27,10 @@ def graph_edges(spark, d):
     return graph.top_edges(graph.both_ways(load(spark, d, "doc_edges")), 5).select("doc_id_a", "doc_id_b", "similarity", F.col("rank").cast("long").alias("rank"))
 
 
+def graph_built(spark, d):
+    return graph.build_edges(chunks(spark, d).select("doc_id", "vector"), 64, 5).select("doc_id_a", "doc_id_b", F.round("similarity", 6).alias("similarity"))
+
+
 def graph_neighbors(spark, d):
     return graph.neighbours(load(spark, d, "doc_edges"), load(spark, d, "files"), 5).select("doc_id_a", "doc_id_b", F.col("rank").cast("long").alias("rank"), "source_path")
 
@@ -148,7 +152,7 @@ def events_session(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_identity_keys, doc_centroids, graph_edges, graph_neighbors, graph_measured, graph_stats, changed_files, corpus_gap, orphan_check, missing_rules, cache_split, exact_duplicates, version_families,
+        doc_identity_keys, doc_centroids, graph_edges, graph_built, graph_neighbors, graph_measured, graph_stats, changed_files, corpus_gap, orphan_check, missing_rules, cache_split, exact_duplicates, version_families,
         dedup_plan, rules_dedup, duplicate_stats, search_rules, list_indexed, replace_document, source_counts, embedding_drift, route_domains, coalesce_events, defer_priority, events_tumbling, events_session,
     )
 }
@@ -175,6 +179,9 @@ SQL = {
     "doc_identity_keys": rf"SELECT DISTINCT source_path, CASE WHEN regexp_matches({_pair}, '\d\.\d') THEN regexp_replace({_pair}, '([\d)])-\d{{2}}$', '\1') ELSE {_pair} END AS retrieval, regexp_replace({_pair}, '-\d{{2}}$', '') AS tables, {_family} AS family, {_pair} AS pair, substr(sha256(source_path), 1, 8) AS doc_id FROM files WHERE source_path IS NOT NULL",
     "doc_centroids": f"WITH {_cent.replace('count(*) AS chunks', 'max(n) AS chunks')} SELECT doc_id, chunks, round(v[1], 5) AS first, round(v[64], 5) AS last FROM c",
     "graph_edges": f"WITH {_edges} SELECT a AS doc_id_a, b AS doc_id_b, s AS similarity, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM w QUALIFY rank <= 5",
+    "graph_built": f"""WITH {_cent}, p AS (SELECT c.doc_id AS a, h.doc_id AS b, max(round(list_cosine_similarity(c.v, h.vector::DOUBLE[]), 9)) AS s FROM c JOIN (SELECT * FROM {CH} WHERE {LIVE} AND len(vector) = 64) h ON h.doc_id <> c.doc_id GROUP BY ALL),
+t AS (SELECT a, b, greatest(0, s) AS s FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS doc_id_a, b AS doc_id_b, round(max(s), 6) AS similarity FROM (SELECT a, b, s FROM t UNION ALL SELECT b, a, s FROM t) GROUP BY ALL""",
     "graph_neighbors": f"WITH {_edges}, t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM w QUALIFY rank <= 5), n AS (SELECT substr(sha256(source_path), 1, 8) AS b, min(source_path) AS source_path FROM files WHERE source_path IS NOT NULL GROUP BY 1) SELECT a AS doc_id_a, b AS doc_id_b, rank, source_path FROM t LEFT JOIN n USING (b)",
     "graph_measured": f"WITH {_cent}, p AS (SELECT DISTINCT least(doc_id_a, doc_id_b) AS a, greatest(doc_id_a, doc_id_b) AS b FROM doc_edges WHERE doc_id_a <> doc_id_b) SELECT a AS doc_id_a, b AS doc_id_b, round(list_cosine_similarity(x.v, y.v), 5) AS similarity FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b",
     "graph_stats": f"WITH {_edges} SELECT count(*) AS edges, count(DISTINCT a) AS documents FROM w",

@@ -1,9 +1,10 @@
 """Operators on the small cases a retrieval engine must get right."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import chunking, corpus, evaluate, extract, lexical, quality, retrieval, tables
+from tesserae.operators import chunking, corpus, evaluate, extract, graph, lexical, quality, retrieval, tables
 from tesserae.plans import routing
 
 
@@ -148,3 +149,23 @@ def test_routing():
     assert routing.route("предел огнестойкости по пожарным требованиям").dataset == "normative"
     assert routing.route("").name == "default"
     assert routing.distinct_queries(["А  б", "а б", "в"], 4) == ("А б", "в")
+
+
+def test_edges_are_found_in_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CENTRES", 7)
+    monkeypatch.setattr(graph, "CHUNKS", 50)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 4)).astype(np.float32)
+    of = [f"d{i % 20:02d}" if i < 120 else "d00" for i in range(200)]
+    rows = [(d, [float(y) for y in v]) for d, v in zip(of, x)] + [("d03", None), ("d03", [0.0] * 4), (None, [1.0] * 4), ("odd", [1.0]), ("zero", [0.0] * 4)]
+    got = {(r["doc_id_a"], r["doc_id_b"]): r["similarity"] for r in graph.build_edges(spark.createDataFrame(rows, "doc_id string, vector array<float>"), 4, 3).collect()}
+    have = [(d, np.array(v)) for d, v in rows if d and v and len(v) == 4]
+    want: dict = {}
+    for a in {d for d, _ in have}:
+        c = np.mean([v for d, v in have if d == a], axis=0)
+        best = {b: max([float(v @ c / np.linalg.norm(v) / np.linalg.norm(c)) for d, v in have if d == b and v.any()], default=None) for b in {d for d, _ in have} if b != a and c.any()}
+        for b, s in sorted(((b, s) for b, s in best.items() if s is not None), key=lambda p: (-p[1], p[0]))[:3]:
+            for pair in ((a, b), (b, a)):
+                want[pair] = max(want.get(pair, 0.0), s)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
+    assert graph.build_edges(spark.createDataFrame([], "doc_id string, vector array<float>"), 4, 3).count() == 0
