@@ -87,11 +87,16 @@ def lexical_stem(word: Column) -> Column:
     return F.when(word.rlike("^[а-яё]{4,}$"), _cut(word, LEXICAL_ENDINGS, 4)).otherwise(word)
 
 
-def lexical_terms(c: Column) -> Column:
-    """The terms a text is indexed by: runs of letters and digits with inner points and hyphens, of at
-    least three characters, Russian words by their stem."""
+def lexical_words(c: Column) -> Column:
+    """The words behind the terms a text is indexed by: runs of letters and digits with inner points and
+    hyphens, of at least three characters, without stop words."""
     raw = F.regexp_extract_all(F.translate(F.lower(c), "ё", "е"), F.lit(r"[0-9a-zа-я]+(?:[.-][0-9a-zа-я]+)*"), F.lit(0))
-    return F.transform(F.filter(raw, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS)), lambda t: F.when(t.rlike("[0-9]"), t).otherwise(lexical_stem(t)))
+    return F.filter(raw, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
+
+
+def lexical_terms(c: Column) -> Column:
+    """The terms a text is indexed by: its lexical words, Russian ones by their stem."""
+    return F.transform(lexical_words(c), lambda t: F.when(t.rlike("[0-9]"), t).otherwise(lexical_stem(t)))
 
 
 def term_id(term: Column) -> Column:

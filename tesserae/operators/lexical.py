@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import lexical_terms, term_id, tokens
+from tesserae.functions.text import lexical_stem, lexical_terms, lexical_words, term_id, tokens
+from tesserae.session import checkpoint
 
 K1, B = 1.2, 0.75
 
@@ -16,16 +17,16 @@ def postings(docs: DataFrame, key: str, text: str, terms=tokens) -> DataFrame:
     return d.select(key, F.size("_t").cast("bigint").alias("length"), F.explode("_t").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: list[str], terms=tokens) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, query: list[str], terms=tokens, same=lambda x, w: x == F.lit(w)) -> DataFrame:
     """(key, bm25) of the texts that hold a query term, in one pass over the texts without a shuffle of them.
 
     Counts of documents and the mean length are over all texts that have a term at all; they are one
-    row. idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+    row. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). same(term, query word) tells which terms are a query word.
     """
     query = list(dict.fromkeys(query))
-    same = lambda w: lambda x: x == F.lit(w)
-    tf = [F.size(F.filter("_t", same(w))).cast("bigint").alias(f"_f{i}") for i, w in enumerate(query)]
-    d = docs.select(key, terms(F.col(text)).alias("_t")).filter("size(_t) > 0").select(key, F.size("_t").cast("bigint").alias("_len"), *tf)
+    is_ = lambda w: lambda x: same(x, w)
+    tf = [F.size(F.filter("_t", is_(w))).cast("bigint").alias(f"_f{i}") for i, w in enumerate(query)]
+    d = checkpoint(docs.select(key, terms(F.col(text)).alias("_t")).filter("size(_t) > 0").select(key, F.size("_t").cast("bigint").alias("_len"), *tf))
     stats = d.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.sum((F.col(f"_f{i}") > 0).cast("bigint")).alias(f"_d{i}") for i in range(len(query)))).first()
     n, mean = stats["_n"], stats["_avg"] or 1.0
     total: Column = F.lit(0.0)
@@ -37,6 +38,15 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], terms=tokens) -
     return d.select(key, total.alias("bm25")).filter("bm25 > 0")
 
 
+def bm25_stemmed(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """(key, bm25) over stemmed terms of texts and query: inflected words are one term.
+
+    A word has a stem only if it begins with it, so few words of a text are stemmed. A query without a term finds nothing.
+    """
+    terms = docs.sparkSession.range(1).select(lexical_terms(F.lit(query)).alias("t")).first()["t"]
+    return bm25(docs, key, text, terms, lexical_words, lambda x, w: x.startswith(F.lit(w)) & (lexical_stem(x) == F.lit(w)))
+
+
 def sparse_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf): the sparse vector of each text over stemmed terms."""
     d = docs.select(key, F.explode(lexical_terms(F.col(text))).alias("term"))

@@ -52,7 +52,7 @@ def _one(corpus: Corpus, q: str, plan: routing.Plan, provider: Provider, scope:
     base = corpus.chunks.filter(scope)
     pool = plan.pool
     dense = retrieval.dense_topk(base.select("chunk_id", "vector"), provider.query(q), pool)
-    bm = lexical.bm25(base, "chunk_id", "text", [w for w in quality.query_words(q)] or [q.lower()])
+    bm = lexical.bm25_stemmed(base, "chunk_id", "text", " ".join(quality.query_words(q)) or q)
     bm = bm.orderBy(F.desc("bm25"), "chunk_id").limit(pool)
     both = dense.select("chunk_id", "score").join(bm, "chunk_id", "full_outer").withColumn("q", F.lit(1))
     fused = retrieval.combine(both.withColumnRenamed("score", "_d"), "q", F.col("_d"), F.col("bm25"), plan.alpha)

@@ -55,6 +55,16 @@ def bm25_sparse_terms(spark, d):
     return lexical.postings(p, "parent_id", "parent_text")
 
 
+def bm25_stemmed(spark, d):
+    r = lexical.bm25_stemmed(load(spark, d, "documents"), "doc_id", "text", " ".join(WORDS))
+    return r.select("doc_id", F.round("bm25", 4).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(50)
+
+
+def stemmed_sparse_terms(spark, d):
+    p = load(spark, d, "parent_chunks").filter("parent_id is not null").dropDuplicates(["parent_id"])
+    return lexical.sparse_terms(p, "parent_id", "parent_text")
+
+
 def _best_hits(spark, d):
     h = load(spark, d, "search_hits").filter("chunk_id is not null")
     return h.groupBy("query_id", "chunk_id").agg(F.min("_distance").alias("_distance"), F.max("_relevance_score").alias("_relevance_score"), F.max("score").alias("score"))
@@ -225,7 +235,7 @@ def merge_traces(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, dense_l2_topk, dense_scoped_prefilter, cosine_l2_scores, bm25_search, bm25_sparse_terms, linear_fusion, rrf_fusion, exact_channel, find_occurrences, occurrences_by_document,
+        dense_topk, dense_l2_topk, dense_scoped_prefilter, cosine_l2_scores, bm25_search, bm25_sparse_terms, bm25_stemmed, stemmed_sparse_terms, linear_fusion, rrf_fusion, exact_channel, find_occurrences, occurrences_by_document,
         occurrences_page, identifier_tokens, norm_designations, parent_hydration, dedup_by_parent, title_penalty, table_noise, quality_score, lexical_boost, diversify_per_doc, diversify_exact,
         newest_revision, source_focus, fill_to_top_k, rerank_apply, crag_grade, rerank_decision, semantic_cache_lookup, cache_evict, maxsim_late_interaction, merge_traces,
     )
@@ -239,6 +249,8 @@ RANKED = BEST + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id
 POOL = RANKED + f", pool AS (SELECT r.*, c.doc_id, c.parent_id, c.text FROM ranked r JOIN {CH} c USING (chunk_id))"
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOK = f"list_filter(regexp_extract_all(lower(text), '[0-9a-zа-яё]+'), lambda t: len(t) >= 2 AND t NOT IN ({STOP}))"
+_stemmed = lambda x: f"CASE WHEN regexp_matches({x}, '^[а-яё]{{4,}}$') THEN CASE " + " ".join(f"WHEN ends_with({x}, '{e}') AND len({x}) >= {len(e) + 4} THEN left({x}, len({x}) - {len(e)})" for e in T.LEXICAL_ENDINGS) + f" ELSE {x} END ELSE {x} END"
+LTOK = f"list_transform(list_filter(regexp_extract_all(translate(lower(text), 'ё', 'е'), '[0-9a-zа-я]+(?:[.-][0-9a-zа-я]+)*'), lambda t: len(t) >= 3 AND t NOT IN ({STOP})), lambda t: {_stemmed('t')})"
 W = r"\p{L}\p{N}_"
 
 
@@ -277,6 +289,14 @@ df AS (SELECT w, count(*)::DOUBLE AS df FROM tf WHERE f > 0 GROUP BY w)
 SELECT doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tf.n / s.a))), 4) AS bm25
 FROM tf JOIN df USING (w), s WHERE f > 0 GROUP BY doc_id ORDER BY bm25 DESC, doc_id LIMIT 50""",
     "bm25_sparse_terms": f"WITH d AS (SELECT parent_id, {TOK.replace('text', 'parent_text')} AS t FROM parent_chunks WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_id) = 1) SELECT parent_id, term, length, count(*) AS tf FROM (SELECT parent_id, len(t)::BIGINT AS length, unnest(t) AS term FROM d) GROUP BY ALL",
+    "bm25_stemmed": f"""
+WITH d AS (SELECT doc_id, t, len(t) AS n FROM (SELECT doc_id, {LTOK} AS t FROM documents) WHERE len(t) > 0),
+s AS (SELECT count(*)::DOUBLE AS n, avg(n) AS a FROM d), q AS (SELECT DISTINCT {_stemmed('w')} AS w FROM (SELECT unnest({WORDS}) AS w)),
+tf AS (SELECT doc_id, n, w, len(list_filter(t, lambda x: x = w)) AS f FROM d, q),
+df AS (SELECT w, count(*)::DOUBLE AS df FROM tf WHERE f > 0 GROUP BY w)
+SELECT doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tf.n / s.a))), 4) AS bm25
+FROM tf JOIN df USING (w), s WHERE f > 0 GROUP BY doc_id ORDER BY bm25 DESC, doc_id LIMIT 50""",
+    "stemmed_sparse_terms": f"WITH d AS (SELECT parent_id, {LTOK.replace('text', 'parent_text')} AS t FROM parent_chunks WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_id) = 1) SELECT parent_id, term, count(*) AS tf FROM (SELECT parent_id, unnest(t) AS term FROM d) GROUP BY ALL",
     "linear_fusion": f"""WITH {BEST}, w AS (SELECT *, min(_relevance_score) OVER (PARTITION BY query_id) AS lo, max(_relevance_score) OVER (PARTITION BY query_id) AS hi FROM best)
 SELECT query_id, chunk_id, round(0.7 * coalesce(CASE WHEN _distance IS NOT NULL THEN greatest(0.0, 1 - _distance) END, 0) + (1 - 0.7) * coalesce(CASE WHEN hi > lo THEN (_relevance_score - lo) / (hi - lo) WHEN _relevance_score IS NOT NULL THEN 1.0 END, 0), 6) AS score FROM w""",
     "rrf_fusion": f"""WITH {BEST}, l AS (

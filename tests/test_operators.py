@@ -169,3 +169,22 @@ def test_edges_are_found_in_the_chunks(spark, monkeypatch):
                 want[pair] = max(want.get(pair, 0.0), s)
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
     assert graph.build_edges(spark.createDataFrame([], "doc_id string, vector array<float>"), 4, 3).count() == 0
+
+
+def test_inflected_words_are_one_term(spark):
+    df = spark.createDataFrame([(1, "обратные клапаны"), (2, "нет клапана"), (3, "клапан"), (4, "клапанный вентилятор"), (5, None), (6, "")], "id int, text string")
+    assert sorted(r["id"] for r in lexical.bm25_stemmed(df, "id", "text", "о клапане").collect()) == [1, 2, 3]
+    assert lexical.bm25_stemmed(df, "id", "text", "и").count() == 0
+    assert {(r["id"], r["term"]) for r in lexical.sparse_terms(df, "id", "text").collect()} >= {(1, "клапан"), (2, "клапан"), (3, "клапан")}
+
+
+def test_search_finds_inflected_words(spark):
+    from tesserae.operators.embed import Hashing
+    from tesserae.plans import search
+
+    rows = [(f"c{i}", f"d{i}", t, [0.0] * 64, f"Q:/{i}.pdf", f"{i}.pdf", None, None, None) for i, t in enumerate(["ремонт чиллеров", "ремонт насоса", "клапаны"])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, vector array<float>, source_path string, file_name string, parent_id string, modified_at string, namespace string")
+    parents = spark.createDataFrame([], "parent_id string, source_path string, parent_text string, created_at string")
+    plan = routing.plan("чиллера", 5)
+    got = search._one(search.Corpus(chunks, parents), "чиллера", plan, Hashing(64), F.lit(True), 0)[0].collect()
+    assert [r["chunk_id"] for r in got] == ["c0"]
