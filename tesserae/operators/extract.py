@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import checkpoint
+
 #: The form of a record's name, and of a number with its unit.
 RECORD = r"(?<!\w)[А-ЯA-Z]{1,3}\d?-[А-ЯA-Z0-9]{2,}-\d{2}-\d{2}(?:\s*\([^)]{1,40}\))?(?!\w)"
 VALUE = r"(?P<value>-?\d+(?:[,.]\d+)?)\s*(?P<unit>кПа|Па|м3/ч|м³/ч|м/с|кВт|Вт|мм|м|кг|%)?(?!\w)"
 LOOK_AHEAD = 3
+#: Most hashes of three words that are sent to every executor; more are joined by a shuffle, with the same result.
+KEYS = 4_000_000
 
 
 def labelled_values(docs: DataFrame, key: str, text: str, labels: list[str]) -> DataFrame:
@@ -98,3 +102,33 @@ def locate(pages: DataFrame, quotes: list[tuple[int, str]], key: str, text: str,
     best = Window.partitionBy("quote_id")
     h = h.withColumn("_b", F.min("probe_no").over(best)).filter("probe_no = _b")
     return h.withColumn("place", F.row_number().over(best.orderBy(key))).filter(F.col("place") <= most).select("quote_id", key, "probe_words", "place")
+
+
+def locate_all(pages: DataFrame, quotes: DataFrame, key: str, text: str, quote: str, most: int = 3) -> DataFrame:
+    """(quote, key, probe_words, place) as of ``locate``, for a table of quotes of any size: (quote, text).
+
+    A page that holds a probe holds its second to fourth word as whole words, so pages and probes
+    meet in a join on the hash of three words; the probe itself decides. Equal probes are looked for once.
+    """
+    plain = F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    hashed = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    w = F.col("_w")
+    q = quotes.select(F.col(quote).alias("_q"), F.filter(F.split(plain, " "), lambda x: x != "").alias("_w")).filter(F.size("_w") >= 5)
+    at = lambda n: F.least(F.lit(3), F.size(w) - n)
+    asked = [F.when(F.size(w) >= n, F.struct(F.lit(n).alias("probe_words"), F.array_join(F.slice(w, at(n) + 1, F.lit(n)), " ").alias("_p"), hashed(w, at(n) + 1).alias("_h"))) for n in (12, 8, 5)]
+    q = checkpoint(q.select("_q", F.explode(F.array_compact(F.array(*asked))).alias("a")).select("_q", "a.*"))
+    keys = q.select("_h").distinct()
+    keys = F.broadcast(keys) if q.count() <= KEYS else keys
+    words = pages.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.split(plain, " ").alias("_w")).filter(F.size("_w") >= 5)
+    runs = words.select("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: hashed(w, i)))).alias("_h"))
+    # a page without a probe's first five words holds none of the longer probes that begin with them
+    starts = q.select("_h", "_p", F.array_join(F.slice(F.split("_p", " "), 1, 5), " ").alias("_f")).groupBy("_h", "_f").agg(F.collect_set("_p").alias("_ps"))
+    met = runs.join(keys, "_h", "left_semi").join(starts, "_h").drop("_h")
+    texts = pages.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k2"), plain.alias("_t"))
+    held = met.join(texts, F.col("_k") == F.col("_k2")).filter(F.contains("_t", "_f"))
+    held = held.select("_k", "_t", F.explode("_ps").alias("_p2")).filter(F.contains("_t", "_p2")).select("_k", "_p2").distinct()
+    hits = q.join(held, F.col("_p") == F.col("_p2")).select("_q", "_k", "probe_words").distinct()
+    best = Window.partitionBy("_q").orderBy(F.desc("probe_words"))
+    hits = hits.withColumn("_b", F.dense_rank().over(best)).filter("_b = 1")
+    place = F.row_number().over(Window.partitionBy("_q").orderBy("_k"))
+    return hits.withColumn("place", place).filter(F.col("place") <= most).select(F.col("_q").alias("quote_id"), F.col("_k").alias(key), "probe_words", "place")

@@ -188,3 +188,12 @@ def test_search_finds_inflected_words(spark):
     plan = routing.plan("чиллера", 5)
     got = search._one(search.Corpus(chunks, parents), "чиллера", plan, Hashing(64), F.lit(True), 0)[0].collect()
     assert [r["chunk_id"] for r in got] == ["c0"]
+
+
+def test_all_quotes_are_located(spark):
+    said = [" ".join(f"слово{i}x{j}" for j in range(14)) for i in range(60)]
+    quotes = spark.createDataFrame([(i, t) for i, t in enumerate(said)] + [(90, "одно два"), (91, None), (92, "а б  в\nг Д")], "id bigint, text string")
+    pages = [(f"p{i:02d}", f"Начало {t.upper()} конец") for i, t in enumerate(said)] + [("odd", "пра б в г дом"), ("whole", "кА б в г Да"), ("none", None), ("same", said[7])]
+    got = [tuple(r) for r in extract.locate_all(spark.createDataFrame(pages, "page string, text string"), quotes, "page", "text", "id").collect()]
+    # a probe may begin and end within a page's words, as contains has it
+    assert sorted(got) == sorted([(i, f"p{i:02d}", 12, 1) for i in range(60)] + [(7, "same", 12, 2), (92, "odd", 5, 1), (92, "whole", 5, 2)])
