@@ -16,13 +16,23 @@ SCORES = {"_distance": (False, 1.0), "_relevance_score": (True, 1.0), "score": (
 
 def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     """Word runs of three and half of them in common, as TESTDATA.md states the cases."""
-    return neardup.NearDuplicates(load(spark, d, "parent_chunks"), "parent_id", "parent_text", run=3, threshold=0.5, rows=2, bands=16)
+    return neardup.NearDuplicates(load(spark, d, "parent_chunks"), "parent_id", "parent_text", run=3, threshold=0.5, rows=3, bands=32)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).found().select(F.col("a").alias("parent_id_a"), F.col("b").alias("parent_id_b"))
 
 
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """At the parameters of p1_found: each parent's class of equal words, by its first member, and its number of near classes."""
+    return _near(spark, d).rows()
+
+
+def p1_member_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The connected groups of p1_found."""
+    return _near(spark, d).groups()
+
+
 def p1_rows(spark: SparkSession, d: str) -> DataFrame:
     """Five words and a similarity of 0.8, a row for each parent with its class and number of links."""
     return neardup.NearDuplicates(load(spark, d, "parent_chunks"), "parent_id", "parent_text").rows()
@@ -98,7 +108,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_rows, p1_groups, p3_found, p3_ranking, p4_found, p4_texts, p6_found, p6_survivors, p7_found, p7_closest, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_members, p1_member_groups, p1_rows, p1_groups, p3_found, p3_ranking, p4_found, p4_texts, p6_found, p6_survivors, p7_found, p7_closest, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
 
 
 _P1 = r"""
@@ -114,18 +124,35 @@ def _p1_sql(run: int) -> str:
     return _P1.replace("RUN-1", str(run - 1)).replace("RUN", str(run))
 
 
+#: (first, class and links) of texts of equal words, for runs of RUN words and a similarity of LEAST.
 _P1_ROWS = r"""
 WITH t AS (SELECT DISTINCT parent_id, parent_text FROM parent_chunks WHERE parent_id IS NOT NULL),
 w AS (SELECT parent_id, regexp_extract_all(lower(parent_text), '[\p{L}\p{N}]+') AS w FROM t),
 m AS (SELECT parent_id, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') END AS c, w FROM w),
 c AS (SELECT c, min(parent_id) AS first, any_value(w) AS w FROM m WHERE c IS NOT NULL GROUP BY c),
-r AS (SELECT first, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS r FROM c WHERE len(w) >= 5),
+r AS (SELECT first, unnest(list_distinct(list_transform(range(1, len(w) - RUN + 2), lambda i: array_to_string(w[i:i+RUN-1], ' ')))) AS r FROM c WHERE len(w) >= RUN),
 n AS (SELECT first, count(*) AS n FROM r GROUP BY 1),
 x AS (SELECT a.first AS a, b.first AS b, count(*) AS k FROM r a JOIN r b ON a.r = b.r AND a.first <> b.first GROUP BY ALL),
-l AS (SELECT a AS first, count(*) AS links FROM x JOIN n p ON a = p.first JOIN n q ON b = q.first WHERE k >= 0.8 * (p.n + q.n - k) GROUP BY 1)
+l AS (SELECT a AS first, count(*) AS links FROM x JOIN n p ON a = p.first JOIN n q ON b = q.first WHERE k >= LEAST * (p.n + q.n - k) GROUP BY 1)
 SELECT m.parent_id, c.first AS class_id, coalesce(l.links, 0) AS links FROM m LEFT JOIN c USING (c) LEFT JOIN l ON l.first = c.first
 """
 
+
+
+def _p1_rows_sql(run: int, least: float) -> str:
+    return _P1_ROWS.replace("RUN-1", str(run - 1)).replace("RUN", str(run)).replace("LEAST", str(least))
+
+
+def _p1_groups_sql(run: int, least: float) -> str:
+    """Reachability over the near pairs of all parents; a pair of equal texts is near if it has a run."""
+    near = _p1_sql(run).replace("\nWITH ", "\nWITH RECURSIVE ", 1).rstrip()
+    return f"""{near},
+e AS (SELECT a, b FROM c JOIN n p ON a = p.parent_id JOIN n q ON b = q.parent_id WHERE c >= {least} * (p.n + q.n - c)),
+w2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM w2 UNION SELECT r.a, w2.b FROM reach r JOIN w2 ON r.b = w2.a)
+SELECT a AS parent_id, min(least(a, b)) AS "group" FROM reach GROUP BY a"""
+
+
 _P3 = """
 WITH items AS (
   SELECT query_id, chunk_id, max(CASE WHEN NOT isnan(_distance) THEN -_distance END) a,
@@ -171,7 +198,10 @@ s AS (SELECT doc_id, len(r)::BIGINT AS n_runs, (len(r) - len(list_distinct(r))):
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _p1_sql(3) + "SELECT a AS parent_id_a, b AS parent_id_b FROM c JOIN n p ON a = p.parent_id JOIN n q ON b = q.parent_id WHERE c >= 0.5 * (p.n + q.n - c)",
-        "p1_rows": _P1_ROWS,
+        "p1_rows": _p1_rows_sql(5, 0.8),
+        "p1_members": _p1_rows_sql(3, 0.5),
+        "p1_groups": _p1_groups_sql(5, 0.8),
+        "p1_member_groups": _p1_groups_sql(3, 0.5),
         "p3_ranking": _P3 + "SELECT query_id, chunk_id, median_rank, mean_rank FROM r",
         "p3_found": _P3 + "SELECT query_id, chunk_id FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, chunk_id) <= 5",
         "p6_found": _P6,

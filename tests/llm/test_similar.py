@@ -43,11 +43,28 @@ def test_pairs_against_brute_force(spark, run, least):
     assert all(groups[a] == groups[b] for a, b in want) and set(groups) == {x for p in want for x in p}
 
 
-def test_large_class_is_a_star(spark, monkeypatch):
+def test_large_buckets_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 2)
+    monkeypatch.setattr(neardup, "PART", 3)
+    t = [f"w{i}" for i in range(60)]
+    rows = [" ".join(t[:i] + ["x"] + t[i + 1 :]) for i in range(0, 60, 3)]
+    n = neardup.NearDuplicates(spark.createDataFrame(list(enumerate(rows)), "id int, text string"), "id", "text", run=3, threshold=0.5, rows=3, bands=32)
+    sets = [shingles(x, 3) for x in rows]
+    want = {(i, j) for i in range(20) for j in range(i + 1, 20) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    assert {tuple(r) for r in n.found().collect()} == want and len(want) > 100
+
+
+def test_large_class_is_told_by_its_first_member(spark, monkeypatch):
     monkeypatch.setattr(neardup, "EXPAND", 9)
-    df = spark.createDataFrame([(i, "a b c d e f g") for i in range(10)] + [(99, "a b c d e f g h")], "id int, text string")
+    df = spark.createDataFrame([(i, "a b c d e f g") for i in range(10)] + [(99, "a b c d e f g h"), (50, "p q"), (51, "P, q")], "id int, text string")
     n = neardup.NearDuplicates(df, "id", "text", run=3, threshold=0.5, rows=2, bands=16)
-    assert {tuple(r) for r in n.found().collect()} == {(0, i) for i in range(1, 10)} | ({(0, 99)} if False else {(i, 99) for i in range(10)} if 10 <= 9 else {(0, 99)})
+    found = {tuple(r) for r in n.found().collect()}
+    assert found == {(0, i) for i in range(1, 10)} | {(0, 99)}
+    # every near pair is read back from the pairs and the classes
+    of = {r["id"]: r["class_id"] for r in n.rows().collect()}
+    long = set(range(10)) | {99}
+    near = {(a, b) for a in long for b in long if a < b and (of[a] == of[b] or (of[a], of[b]) in found)}
+    assert near == {(a, b) for a in long for b in long if a < b} and of[50] == of[51] == 50
 
 
 def test_nothing(spark):
