@@ -1,9 +1,10 @@
 """Problem 3: one ranking from several differently scaled scores, by median rank.
 
 Every item is ranked within its group in each score; the order is by the weighted median of its
-ranks, then their weighted mean, then its identifier. Ranks are exact for a group of any size: the
-distinct values of a score are counted first, a group's values are cut into slices at quantiles of
-those, and a value's rank is the number of items in better slices plus the better ones in its own.
+ranks, then their weighted mean, then its identifier. Groups up to ``LARGE`` items are ranked by one
+window for each score over a single shuffle. A larger group is never in one task: its distinct
+values are counted and cut into ranges over all tasks, and a value's rank is the number of items in
+the ranges before it plus the better ones in its own.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values a slice should hold; only the number of slices, never a result, depends on it.
-SLICE = 50_000
-_MOST_SLICES = 256
+from tesserae.session import checkpoint
+
+#: Items up to which a group is ranked in one task; no result depends on it.
+LARGE = 50_000
 
 
 def weighted_median(ranks: Column, weights: list[float]) -> Column:
@@ -26,52 +28,60 @@ def weighted_median(ranks: Column, weights: list[float]) -> Column:
     return F.aggregate(F.array_sort(ranks), zero, step, lambda a: a.r)
 
 
+def _windowed(items: DataFrame, n: int) -> DataFrame:
+    """items with _r0 .. _rn: mean ranks of _s0 .. _sn within _g."""
+    out = items
+    for i in range(n):
+        w = Window.partitionBy("_g").orderBy(F.col(f"_s{i}").desc_nulls_last())
+        equal = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        out = out.withColumn(f"_r{i}", F.rank().over(w) + (equal - 1) / 2)
+    return out
+
+
+def _ranged(items: DataFrame, n: int) -> DataFrame:
+    """As _windowed, for groups of any size."""
+    long = items.select("_g", "_i", F.posexplode(F.array(*(F.col(f"_s{i}") for i in range(n)))).alias("_k", "_v"))
+    values = long.filter("_v is not null").groupBy("_g", "_k", "_v").agg(F.count("*").alias("n"))
+    # written, so that a value stays in the range it was counted in
+    placed = checkpoint(values.repartitionByRange("_g", "_k", F.desc("_v")).withColumn("_p", F.spark_partition_id()))
+    inside = F.sum("n").over(Window.partitionBy("_p", "_g", "_k").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1))
+    whole = placed.groupBy("_p", "_g", "_k").agg(F.sum("n").alias("_n"))
+    before = whole.withColumn("_before", F.sum("_n").over(Window.partitionBy("_g", "_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")
+    ranks = placed.withColumn("_in", inside).join(before, ["_p", "_g", "_k"])
+    ranks = ranks.select("_g", "_k", "_v", (F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0)) + (F.col("n") + 1) / 2).alias("_r"))
+    there = long.filter("_v is not null").join(ranks, ["_g", "_k", "_v"]).select("_g", "_i", "_k", "_r")
+    # all that miss a score share the mean of the ranks behind the present ones
+    have = long.groupBy("_g", "_k").agg(F.count("_v").alias("p"), F.count("*").alias("all"))
+    none = long.filter("_v is null").join(have, ["_g", "_k"]).select("_g", "_i", "_k", (F.col("p") + (F.col("all") - F.col("p") + 1) / 2).alias("_r"))
+    return there.union(none).groupBy("_g", "_i").agg(*(F.max(F.when(F.col("_k") == i, F.col("_r"))).alias(f"_r{i}") for i in range(n)))
+
+
 def median_rank(hits: DataFrame, group: str, item: str, scores: dict[str, tuple[bool, float]]) -> DataFrame:
-    """(group, item, median_rank, mean_rank, position) for every item.
+    """(group, item, median_rank, mean_rank) for every item; ``best_of_each`` takes the first by them.
 
     scores: column -> (large is good, weight). Of repeated rows of an item the best value of each
     score counts; null and NaN are missing, and a missing score ranks after all present ones,
     equally for all that miss it. Equal values share the mean of their ranks. A null group is a
     group; rows with a null item are no items. An empty table gives an empty result.
     """
-    names = list(scores)
+    n = len(scores)
     best = [
         F.max(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") * (1 if good else -1))).alias(f"_s{i}")
         for i, (c, (good, _)) in enumerate(scores.items())
     ]
-    items = hits.filter(F.col(item).isNotNull()).groupBy(group, item).agg(*best)
-    long = items.select(
-        F.col(group).alias("_g"), F.col(item).alias("_i"),
-        F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col(f"_s{i}").alias("v")) for i in range(len(names))))).alias("s"),
-    ).select("_g", "_i", F.col("s.k").alias("_k"), F.col("s.v").alias("_v"))
-
-    values = long.groupBy("_g", "_k", "_v").agg(F.count("*").alias("n"))
-    of = [F.col("_g"), F.col("_k")]
-    # cuts: quantiles of the distinct values, only for groups too large for one slice
-    cuts = values.filter(F.col("_v").isNotNull()).groupBy("_g", "_k").agg(F.count("*").alias("c"), F.percentile_approx("_v", [i / _MOST_SLICES for i in range(1, _MOST_SLICES)], 2000).alias("q"))
-    cuts = cuts.filter(F.col("c") > SLICE).select(F.col("_g").alias("_cg"), F.col("_k").alias("_ck"), F.array_distinct("q").alias("q"))
-    sliced = values.join(cuts, values._g.eqNullSafe(F.col("_cg")) & (values._k == F.col("_ck")), "left").select(
-        "_g", "_k", "_v", "n",
-        # missing values are the last slice of all
-        F.when(F.col("_v").isNull(), F.lit(_MOST_SLICES)).otherwise(F.coalesce(F.size(F.filter("q", lambda x: x > F.col("_v"))), F.lit(0))).alias("_s"),
-    )
-    at = Window.partitionBy("_g", "_k", "_s").orderBy(F.col("_v").desc_nulls_last())
-    inside = sliced.withColumn("_in", F.sum("n").over(at.rowsBetween(Window.unboundedPreceding, -1)))
-    whole = sliced.groupBy("_g", "_k", "_s").agg(F.sum("n").alias("_n"))
-    before = whole.withColumn("_before", F.sum("_n").over(Window.partitionBy("_g", "_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)))
-    b = before.select(F.col("_g").alias("_bg"), F.col("_k").alias("_bk"), F.col("_s").alias("_bs"), "_before")
-    ranks = inside.join(b, inside._g.eqNullSafe(F.col("_bg")) & (inside._k == F.col("_bk")) & (inside._s == F.col("_bs"))).select(
-        F.col("_g").alias("_rg"), F.col("_k").alias("_rk"), F.col("_v").alias("_rv"),
-        (F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"),
-    )
-    ranked = long.join(ranks, long._g.eqNullSafe(F.col("_rg")) & (long._k == F.col("_rk")) & long._v.eqNullSafe(F.col("_rv")))
+    # a struct is equal to itself even where the group in it is null
+    keyed = hits.filter(F.col(item).isNotNull()).withColumns({"_g": F.struct(F.col(group).alias("g")), "_i": F.col(item)})
+    items = checkpoint(keyed.groupBy("_g", "_i").agg(*best))
+    large = items.groupBy("_g").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("_g")
+    names = ["_g", "_i", *(f"_r{i}" for i in range(n))]
+    if large.isEmpty():
+        ranked = _windowed(items, n).select(*names)
+    else:
+        ranked = _windowed(items.join(large, "_g", "left_anti"), n).select(*names).union(_ranged(items.join(large, "_g", "left_semi"), n).select(*names))
     weights = [float(w) for _, w in scores.values()]
-    w = F.element_at(F.array(*map(F.lit, weights)), F.col("_k") + 1)
-    one = ranked.groupBy("_g", "_i").agg(
-        F.collect_list(F.struct(F.col("rank").cast("double").alias("rank"), w.alias("weight"))).alias("r"),
-        (F.sum(F.col("rank") * w) / F.lit(sum(weights))).alias("mean_rank"),
-    )
-    return one.select(F.col("_g").alias(group), F.col("_i").alias(item), weighted_median(F.col("r"), weights).alias("median_rank"), "mean_rank")
+    each = F.array(*(F.struct(F.col(f"_r{i}").cast("double").alias("rank"), F.lit(w).alias("weight")) for i, w in enumerate(weights)))
+    mean = sum((F.col(f"_r{i}") * w for i, w in enumerate(weights)), F.lit(0.0)) / F.lit(sum(weights))
+    return ranked.select(F.col("_g.g").alias(group), F.col("_i").alias(item), weighted_median(each, weights).alias("median_rank"), mean.alias("mean_rank"))
 
 
 def best_of_each(ranked: DataFrame, group: str, item: str, k: int) -> DataFrame:

@@ -72,9 +72,9 @@ def brute_rank(rows, names):
     return out
 
 
-@pytest.mark.parametrize("slice_", [50_000, 3])
-def test_median_rank_against_brute_force(spark, monkeypatch, slice_):
-    monkeypatch.setattr(rank, "SLICE", slice_)
+@pytest.mark.parametrize("large", [50_000, 40, 3])
+def test_median_rank_against_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(rank, "LARGE", large)
     rng = random.Random(2)
     val = lambda: rng.choice([None, float("nan"), float("inf"), 1.0, 2.0, rng.random() * 1e6, rng.random()])
     rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice(["a", "b", None, *map(str, range(30))]), val(), val(), val()) for _ in range(150)]
