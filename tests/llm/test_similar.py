@@ -114,6 +114,31 @@ def test_large_class_of_equal_vectors(spark):
     assert got == {(a, b) for a in ids for b in near[a] if a < b and a in near[b]}
 
 
+def test_every_copy_of_a_vector_asks(spark):
+    df = spark.createDataFrame([(f"k{i:03d}", [1.0, 2.0, 3.0]) for i in range(30)] + [("x", [3.0, -2.0, 1.0]), ("y", [3.0, -2.0, 1.5])], "id string, v array<float>")
+    got = {}
+    for r in knn.VectorIndex(df, "id", "v", 3, k=10).closest(lambda id: id.isNotNull()).orderBy("id", "position").collect():
+        got.setdefault(r["id"], []).append(r["other"])
+    ids = [f"k{i:03d}" for i in range(30)]
+    assert set(got) == {*ids, "x", "y"} and all(got[a] == [b for b in ids if b != a][:10] for a in ids)
+    assert got["x"][0] == "y" and got["y"][0] == "x"
+
+
+def test_hot_cells_are_split_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(knn, "ASKS", 100)
+    x = vectors(900)
+    x[:600] = x[0] + 0.02 * np.random.default_rng(1).standard_normal((600, 64)).astype(np.float16)
+    ids = [f"c{i:04d}" for i in range(len(x))]
+    index = knn.VectorIndex(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, v array<float>"), "id", "v", 64, cell=50)
+    c, near = brute(x, ids, 10)
+    at = {k: i for i, k in enumerate(ids)}
+    want = {(a, b) for a in ids for b in near[a] if a < b and a in near[b] and c[at[a], at[b]] >= 0.9}
+    got = {tuple(r) for r in index.mutual(0.9, 8).collect()}
+    assert index._blocks(8).max() > 1 and len(got & want) >= 0.9 * len(want)
+    slots = index._visits(index.classes, 8, index._blocks(8), True, True).groupBy("slot").count().collect()
+    assert max(r["count"] for r in slots) < 600
+
+
 def test_recall_of_the_closest(spark):
     x = vectors(1500)
     ids = [f"c{i:04d}" for i in range(len(x))]
