@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections import Counter
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +37,6 @@ _MEMO = 300_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@functools.cache
-def splitter():
-    """The pattern as such, to count the words of texts with apostrophes; a lexicon may differ, ids don't."""
-    import regex
-
-    return regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-
-
 @functools.cache
 def ranks_encoding(path: str):
     import tiktoken
@@ -73,12 +65,9 @@ class _Counts:
     def __init__(self) -> None:
         self.words: list[str] = []
         self.index, self.n = pd.Index([], dtype=np.uint64), np.zeros(0, np.int64)
-        self.odd: Counter = Counter()
 
     def add(self, texts: list[str | None]) -> None:
-        joined, start, end, key, _, odd = pretokens(texts)
-        for i in odd:
-            self.odd.update(splitter().findall(texts[i]))
+        joined, start, end, key, _ = pretokens(texts)
         code, unique = pd.factorize(key)
         n = np.bincount(code, minlength=len(unique))
         at = self.index.get_indexer(unique)
@@ -91,7 +80,7 @@ class _Counts:
             self.n = np.concatenate([self.n, n[new]])
 
     def flush(self) -> pa.RecordBatch:
-        word, n = self.words + list(self.odd), np.concatenate([self.n, np.fromiter(self.odd.values(), np.int64, len(self.odd))])
+        word, n = self.words, self.n
         self.__init__()
         return pa.record_batch([pa.array([w.encode("utf-8", "replace") for w in word], pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
@@ -103,6 +92,8 @@ def compile_lexicon(docs: DataFrame, text: str = "text", tokenizer: str = TOKENI
     enc = ranks_encoding(tokenizer)
     path = fresh_path(spark, "lexicon")
     write_bytes(spark, path, lexicon.build({bytes(r[0]): enc._encode_single_piece(bytes(r[0])) for r in top}))
+    # the ranks travel with the job; executors need no tokenizer of their own
+    spark.sparkContext.addFile(tokenizer)
     if local_file(path) is None:
         spark.sparkContext.addFile(path)
     return path
@@ -113,7 +104,7 @@ class Encoder:
 
     def __init__(self, path: str, tokenizer: str) -> None:
         self.map = lexicon.Transducer(local_file(path) or SparkFiles.get(path.rsplit("/", 1)[-1]))
-        self.exact = ranks_encoding(tokenizer)
+        self.exact = ranks_encoding(SparkFiles.get(os.path.basename(tokenizer)))
         self.reset()
 
     def reset(self) -> None:
@@ -124,11 +115,11 @@ class Encoder:
         raw = [w.encode("utf-8", "replace") for w in words]
         return [self.map.ids_of(i) if i >= 0 else np.array(self.exact._encode_single_piece(w), np.int32) for i, w in zip(self.map.numbers(raw).tolist(), raw)]
 
-    def slots(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The slot of every word of the texts without apostrophes, their bounds, and the other texts."""
+    def slots(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of every word of the texts, and the bounds of each text's words."""
         if len(self.index) > _MEMO:
             self.reset()
-        joined, start, end, key, bounds, odd = pretokens(texts)
+        joined, start, end, key, bounds = pretokens(texts)
         code, unique = pd.factorize(key)
         at = self.index.get_indexer(unique)
         if len(new := np.flatnonzero(at < 0)):
@@ -141,29 +132,20 @@ class Encoder:
             self.len = np.concatenate([self.len, lens])
             self.flat = np.concatenate([self.flat, *parts])
             self.index = self.index.append(pd.Index(unique[new]))
-        return at[code], bounds, odd
+        return at[code], bounds
 
     def encode(self, texts: list[str | None]) -> pa.Array:
-        slots, bounds, odd = self.slots(texts)
+        slots, bounds = self.slots(texts)
         lens = self.len[slots]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.repeat(self.at[slots] - (ends - lens), lens) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[bounds]
-        if not len(odd):
-            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
-        rows = [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-        for i in odd:
-            rows[i] = np.array(self.exact.encode_ordinary(texts[i]), np.int32)
-        return pa.array(rows, pa.list_(pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        slots, bounds, odd = self.slots(texts)
-        ends = np.concatenate([[0], np.cumsum(self.len[slots])])[bounds]
-        n = np.diff(ends)
-        for i in odd:
-            n[i] = len(self.exact.encode_ordinary(texts[i]))
-        return n
+        slots, bounds = self.slots(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(self.len[slots])])[bounds])
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, size: int = LEXICON_SIZE) -> DataFrame:

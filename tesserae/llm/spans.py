@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -112,44 +113,75 @@ def run_hashes(word: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     return h, text_of
 
 
+@functools.cache
+def _engines() -> tuple:
+    """The tokenizer library's own idea of letters, numbers and white space."""
+    import tiktoken
+
+    plain = {bytes([i]): i for i in range(256)}
+    return tuple((kind, tiktoken.Encoding(f"kind{kind}", pat_str=p, mergeable_ranks=plain, special_tokens={})) for kind, p in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")))
+
+
+_newer: dict[int, int] = {}
+
+
+def token_classes(codes: np.ndarray) -> np.ndarray:
+    """As classes; characters our tables don't name yet are asked of the tokenizer library."""
+    kind = classes(codes)
+    new = kind == UNKNOWN
+    if new.any():
+        kind = kind.copy()
+        for c in np.unique(codes[new]).tolist():
+            if c not in _newer:
+                _newer[c] = next((k for k, e in _engines() if e.encode_ordinary(chr(c))), OTHER)
+            kind[codes == c] = _newer[c]
+    return kind
+
+
+#: The endings the pattern splits off behind an apostrophe that begins a word.
+_CONTRACTED = (("s",), ("t",), ("m",), ("d",), ("r", "e"), ("v", "e"), ("l", "l"))
+
+
 def pretokens(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words a byte-level tokenizer splits texts into before its merges.
 
     Runs of letters, of numbers or of other characters, each with one blank U+0020 before it; the
-    white space left over is split off the last blank before a word. Texts with an apostrophe
-    may hold contractions; their numbers come back last, for the caller to split by pattern.
-    Gives the joined text, each word's start, end and hash, the bounds of every text, and those numbers.
+    white space left over is split off the last blank before a word. An apostrophe that begins a run
+    of other characters and has s, t, m, d, re, ve or ll behind it is a word with these letters.
+    Gives the joined text, each word's start, end and hash, and the bounds of every text.
     """
-    plain = [t if t and "'" not in t else "" for t in texts]
-    odd = np.array([i for i, t in enumerate(texts) if t and "'" in t], np.int64)
+    plain = [t or "" for t in texts]
     codes, starts = code_points(plain)
-    kind = classes(codes)
-    if (kind == UNKNOWN).any():
-        new = np.unique(np.searchsorted(starts, np.flatnonzero(kind == UNKNOWN), "right") - 1)
-        for i in new.tolist():
-            plain[i] = ""
-        odd = np.concatenate([odd, new])
-        codes, starts = code_points(plain)
-        kind = classes(codes)
+    kind = token_classes(codes)
     n = len(codes)
-    first = np.zeros(n + 1, bool)
+    first = np.zeros(n + 3, bool)
     first[starts] = True
+    first[n:] = True
     begin = np.zeros(n, bool)
     if n:
         before = np.empty(n, np.uint8)
         before[0], before[1:] = _UNSEEN, kind[:-1]
-        before[first[:-1]] = _UNSEEN
+        before[first[:n]] = _UNSEEN
         after = np.empty(n, np.uint8)
         after[-1], after[:-1] = _UNSEEN, kind[1:]
-        after[first[1:]] = _UNSEEN
+        after[first[1 : n + 1]] = _UNSEEN
         spaced = np.zeros(n, bool)
         spaced[1:] = codes[:-1] == 32
-        spaced &= ~first[:-1]
+        spaced &= ~first[:n]
         blank = kind == BLANK
         begin = np.where(blank, (before != BLANK) | ((after != BLANK) & (after != _UNSEEN)), (before != kind) & ~spaced)
+        quotes = np.flatnonzero(begin & (codes == 39))
+        if len(quotes):
+            far = np.concatenate([codes, np.zeros(3, codes.dtype)])
+            for ending in _CONTRACTED:
+                size = len(ending)
+                hit = quotes[np.all([(far[quotes + i + 1] == ord(c)) & ~first[quotes + i + 1] for i, c in enumerate(ending)], axis=0)]
+                begin[hit + 1] = False
+                past = hit[~first[hit + size + 1]] + size + 1
+                begin[past[kind[past] == LETTER]] = True
     start = np.flatnonzero(begin)
     end = np.append(start[1:], n) if len(start) else start
-    return "".join(plain), start, end, span_hashes(char_values(codes), start, end), np.searchsorted(start, starts), odd
+    return "".join(plain), start, end, span_hashes(char_values(codes), start, end), np.searchsorted(start, starts)
 
 
 def chunks(column: pa.Array, chars: int = CHUNK_CHARS) -> Iterator[pa.Array]:

@@ -1,12 +1,14 @@
 import os
+import unicodedata
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tesserae.llm import encode, lexicon, mix, spans
 
-TEXTS = ["", None, " ", "  \n ", "Расход 12,5 м³/ч — R.L2.15.114", "it's we'll 'tis 's", "a" + chr(0xA0) * 2 + "b" + chr(0x3000) + "c \r\n\r\n d", "x" + chr(0x1C) + "y  ", "😀é" + chr(0x301) + "²½", "слово " * 30_000, "Q:/a/b.pdf\t\t\tq", chr(0) + "z", ":" + chr(0x323B0) + "a", "x" + chr(0x1C89) + "y 1" + chr(0x10D40)]
+TEXTS = ["", None, " ", "  \n ", "Расход 12,5 м³/ч — R.L2.15.114", "it's we'll 'tis 's", "''s 'S don't'll\n've x'd's'", "l'eau d'un ''re '", "a" + chr(0xA0) * 2 + "b" + chr(0x3000) + "c \r\n\r\n d", "x" + chr(0x1C) + "y  ", "😀é" + chr(0x301) + "²½", "слово " * 30_000, "Q:/a/b.pdf\t\t\tq", chr(0) + "z", ":" + chr(0x323B0) + "a", "x" + chr(0x1C89) + "y 1" + chr(0x10D40)]
 
 
 @given(st.dictionaries(st.binary(min_size=1, max_size=6), st.lists(st.integers(0, 50_000), max_size=4), max_size=60), st.lists(st.binary(max_size=7), max_size=20))
@@ -23,13 +25,17 @@ def test_suffixes_are_shared():
     assert len(t.final) == 8  # one path for the common ending
 
 
-@given(st.lists(st.one_of(st.none(), st.text(max_size=40)), max_size=12))
-@settings(max_examples=80, deadline=None)
+SPLITTER = regex.compile(encode.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text("'sStdmrevl \n1.,é", max_size=30)), max_size=12))
+@settings(max_examples=400, deadline=None)
 def test_splits_as_the_pattern(texts):
-    joined, start, end, _, bounds, odd = spans.pretokens(texts)
+    joined, start, end, _, bounds = spans.pretokens(texts)
     for i, t in enumerate(texts):
-        if i not in odd:
-            assert [joined[a:b] for a, b in zip(start[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]])] == encode.splitter().findall(t or "")
+        # the two libraries name different characters of the newest Unicode
+        if all(unicodedata.category(c) != "Cn" for c in t or ""):
+            assert [joined[a:b] for a, b in zip(start[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]])] == SPLITTER.findall(t or "")
 
 
 @pytest.fixture(scope="module")
