@@ -177,9 +177,32 @@ edges AS (SELECT x.source_path AS a, y.source_path AS b FROM k x JOIN k y ON x.n
 reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
 roots AS (SELECT a AS source_path, min(b) AS root FROM reach GROUP BY a),
 members AS (SELECT k.*, root, coalesce(t.trust_rank, 1073741824) AS r FROM k JOIN roots USING (source_path) LEFT JOIN format_trust t ON lower(regexp_replace(trim(k.format), '^\.', '')) = t.fmt)
-SELECT source_path FROM members QUALIFY count(*) OVER (PARTITION BY root) > 1
+"""
+_P6_FOUND = """SELECT source_path FROM members QUALIFY count(*) OVER (PARTITION BY root) > 1
   AND row_number() OVER (PARTITION BY root ORDER BY try_cast(modified_at AS TIMESTAMPTZ) DESC NULLS LAST, r, source_path) = 1
 """
+
+
+def _p6_survivors_sql() -> str:
+    """Votes for every field but the path, whose place is by time, trust and order alone."""
+    times = ("created_at", "modified_at", "indexed_at")
+    fields = [f for f in survive.FIELDS]
+    value = {f: f"m.{f}::VARCHAR" if f in ("chunk_count", "is_deprecated") else f"m.{f}" for f in fields}
+    plain = "lower(regexp_replace(trim(value), '\\s+', ' ', 'g'))"
+    norm = f"CASE WHEN field IN {times} THEN coalesce(epoch_us(try_cast(value AS TIMESTAMPTZ))::VARCHAR, {plain}) WHEN field = 'format' THEN regexp_replace({plain}, '^\\.', '') WHEN field = 'source_path' THEN value ELSE {plain} END"
+    rows = " UNION ALL ".join(f"SELECT m.root, m.source_path AS p, '{f}' AS field, {value[f]} AS value, late, m.r, vote FROM m" for f in fields)
+    kind = {"chunk_count": "INT", "is_deprecated": "BOOLEAN"}
+    out = ", ".join(f"max(CASE WHEN field = '{f}' THEN value END)::{kind.get(f, 'VARCHAR')} AS {f}" for f in fields)
+    return f"""{_P6}, full_rows AS (SELECT f.*, k.root, k.r FROM members k JOIN cur f USING (source_path)),
+m AS (SELECT *, coalesce(-epoch_us(try_cast(modified_at AS TIMESTAMPTZ)), 4611686018427387904) AS late,
+  pow(2.0::DOUBLE, (coalesce(epoch_us(try_cast(modified_at AS TIMESTAMPTZ)), 0) / 86400000000.0::DOUBLE - 18000) / {survive.HALF_LIFE}::DOUBLE) / r AS vote FROM full_rows),
+long AS ({rows}), v AS (SELECT *, {norm} AS norm FROM long WHERE trim(value) <> ''),
+each AS (SELECT root, field, norm, sum(vote) AS votes, min({{'a': late, 'b': r, 'c': p}}) AS place, arg_min(value, {{'a': late, 'b': r, 'c': p}}) AS value FROM v GROUP BY ALL),
+won AS (SELECT root, field, arg_min(value, {{'v': CASE WHEN field = 'source_path' THEN 0.0 ELSE -round(votes, 9) END, 'p': place}}) AS value FROM each GROUP BY ALL),
+size AS (SELECT root, count(*) AS n_paths FROM m GROUP BY 1 HAVING count(*) > 1)
+SELECT root AS "group", {out}, any_value(n_paths) AS n_paths FROM won JOIN size USING (root) GROUP BY root"""
+
+
 _P7 = """
 WITH v AS (SELECT DISTINCT chunk_id, vector::DOUBLE[] AS v FROM documents_64 WHERE vector IS NOT NULL AND chunk_id IS NOT NULL),
 n AS (SELECT chunk_id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
@@ -204,7 +227,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_member_groups": _p1_groups_sql(3, 0.5),
         "p3_ranking": _P3 + "SELECT query_id, chunk_id, median_rank, mean_rank FROM r",
         "p3_found": _P3 + "SELECT query_id, chunk_id FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, chunk_id) <= 5",
-        "p6_found": _P6,
+        "p6_found": _P6 + _P6_FOUND,
+        "p6_survivors": _p6_survivors_sql(),
         "p7_found": _P7,
         "p10_shares": _P10 + "SELECT doc_id, n_runs, repeated_runs, round(repeated_runs / greatest(n_runs, 1), 6) AS repeated_share FROM s",
         "p10_found": _P10 + "SELECT DISTINCT doc_id FROM s WHERE n_runs >= 20 AND repeated_runs >= 0.3 * n_runs",
