@@ -107,8 +107,12 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(load(spark, d, "documents")).select("doc_id", "n_runs", "repeated_runs", F.round("repeated_share", 6).alias("repeated_share"))
 
 
+def p10_retained(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.retained(load(spark, d, "documents")).select("doc_id", F.round("content_share", 6).alias("content_share"), "retained")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_members, p1_member_groups, p1_rows, p1_groups, p3_found, p3_ranking, p4_found, p4_texts, p6_found, p6_survivors, p7_found, p7_closest, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_members, p1_member_groups, p1_rows, p1_groups, p3_found, p3_ranking, p4_found, p4_texts, p6_found, p6_survivors, p7_found, p7_closest, p8_ids, p9_mix, p9_order, p9_shares, p10_found, p10_shares, p10_retained)}
 
 
 _P1 = r"""

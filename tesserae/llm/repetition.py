@@ -1,13 +1,16 @@
 """Problem 10: how much of a document repeats itself.
 
 A text's words are the runs of letters and digits of its lower case; a 5-run is five consecutive
-words, repeated if an equal one stands earlier in the same text. Lines (and sentences inside long
-lines) are labelled content or boilerplate by Viterbi decoding of a linear-chain conditional random
-field over features of each line; the words in content lines give the content share, and a
-document with boilerplate is a candidate whose exact share of repeated 5-runs then decides.
+words, repeated if an equal one stands earlier in the same text. Lines (sentences inside them, and
+pieces of long ones) are labelled content or boilerplate by Viterbi decoding of a linear-chain
+conditional random field over features of each piece. The words in content pieces give the content
+share, which decides whether a document is retained; where an exact share of repeated 5-runs is
+asked for, the labels choose the candidates that are held against it.
 
-The field is fitted on the driver on lines with known labels: whole sample texts into which copies
-of their own lines were planted. The sample is bounded by ``SAMPLE``; everything else sees all rows.
+The field is fitted on the driver on texts without any repetition into which copies of their own
+phrases, sentences and blocks were planted, some of them with edits. A piece is boilerplate by what
+was planted there, not by any of its features. The sample is bounded by ``SAMPLE``; everything else
+sees all rows.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ from tesserae.llm.spans import chunks, classes, code_points, mix, run_hashes, wo
 
 RUN = 5
 #: About how many texts the field is fitted on; never more than twice as many.
-SAMPLE = 80
+SAMPLE = 300
 LEAST_RUNS, LEAST_SHARE = 20, 0.3
+#: Words of a piece of a long line; share of planted words from which a piece of a made text is boilerplate;
+#: content share from which a document is retained.
+PIECE, PLANTED, RETAIN = 12, 0.25, 0.7
 _EDGES = np.array([0.0, 0.1, 0.25, 0.5, 0.75])
 
 
@@ -49,27 +55,44 @@ class Lines:
             cut[:-1] |= stop[:-1] & (classes(codes[1:]) == 3)
         line_of = np.concatenate([[0], np.cumsum(cut)])[starts[text_of] + first] if len(word) else np.zeros(0, np.int64)
         line, _ = pd.factorize(line_of * (n + 1) + text_of)
-        m = int(line.max()) + 1 if len(line) else 0
+        if len(line):
+            # long lines in even pieces
+            size = np.bincount(line)
+            inside = np.arange(len(line)) - (np.cumsum(size) - size)[line]
+            pieces = -(-size // PIECE)
+            line = (np.cumsum(pieces) - pieces)[line] + inside * pieces[line] // size[line]
+        m = int(line[-1]) + 1 if len(line) else 0
+        self.line, self.first = line, starts[text_of] + first
         self.words = np.bincount(line, minlength=m)
         self.text = np.zeros(m, np.int64)
         self.text[line] = text_of
+        self.texts = n
         per = np.maximum(np.diff(bounds) - (RUN - 1), 0)
         at = np.arange(len(run)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(bounds[:-1], per)
-        runs = np.bincount(line[at], minlength=m) if m else np.zeros(0)
-        # a line shorter than a run is judged by the runs it is part of
         covered = np.zeros(len(word) + 1, np.int64)
         np.add.at(covered, at[again], 1)
         np.add.at(covered, np.minimum(at[again] + RUN, len(word)), -1)
-        inside = np.bincount(line, weights=np.cumsum(covered)[:-1] > 0, minlength=m) if m else np.zeros(0)
-        self.share = np.where(runs > 0, np.bincount(line[at], weights=again, minlength=m) / np.maximum(runs, 1), inside / np.maximum(self.words, 1)) if m else np.zeros(0)
-        self.cover = inside / np.maximum(self.words, 1) if m else np.zeros(0)
-        self.texts = n
+        part = lambda x: np.bincount(line, weights=x, minlength=m) / np.maximum(self.words, 1) if m else np.zeros(0)
+        begins = np.zeros(len(word))
+        begins[at[again]] = 1
+        seen = pd.Series(mix(word + mix(text_of.astype(np.uint64)))).duplicated().to_numpy().astype(float) if len(word) else np.zeros(0)
+        if m:
+            start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+            place = (np.arange(len(line)) - start[line]).astype(np.uint64)
+            whole = mix(np.add.reduceat(mix(word ^ mix(place)), start) + mix(self.text.astype(np.uint64)))
+            self.equal = pd.Series(whole).duplicated().to_numpy()
+        else:
+            self.equal = np.zeros(0, bool)
+        #: Shares of a piece's words: that begin a repeated run, that lie in one, that occur earlier in the text.
+        self.shares = [part(begins), part((np.cumsum(covered)[:-1] > 0).astype(float)), part(seen)]
 
     def features(self) -> np.ndarray:
-        x = np.zeros((len(self.words), 2 * len(_EDGES) + 4))
+        wide = len(_EDGES) + 1
+        x = np.zeros((len(self.words), wide * len(self.shares) + 3))
         rows = np.arange(len(x))
-        x[rows, np.searchsorted(_EDGES, self.share)] = 1
-        x[rows, len(_EDGES) + 1 + np.searchsorted(_EDGES, self.cover)] = 1
+        for i, share in enumerate(self.shares):
+            x[rows, i * wide + np.searchsorted(_EDGES, share)] = 1
+        x[:, -3] = self.equal
         x[:, -2] = np.minimum(self.words, 40) / 40
         x[:, -1] = 1
         return x
@@ -153,31 +176,56 @@ class Field:
         return label
 
 
-def fit_field(texts: list[str], seed: int = 7) -> Field:
-    """Fit on texts with planted copies of their own lines.
+def planted(texts: list[str], seed: int = 7) -> list[tuple[str, np.ndarray]]:
+    """Texts with copies of their own phrases, sentences or blocks, and which characters were planted.
 
-    A line counts as boilerplate from a quarter of its words on, so that no document with a
-    repeated share worth reporting is without such a line.
+    Each text also comes as it is. A copy may be alone, in a row, within a line, or have a word changed.
     """
     rng = np.random.default_rng(seed)
-    made = []
+    out = []
     for t in texts:
         lines = [x for x in t.replace(". ", ".\n").split("\n") if x.strip()]
-        if not 2 <= len(lines) <= 40:
+        if not 2 <= len(lines) <= 60:
             continue
-        made.append(t)
+        out.append((t, np.zeros(len(t), bool)))
+        pieces = [(x + "\n", False) for x in lines]
         for _ in range(int(rng.integers(1, 6))):
-            block = int(rng.integers(0, len(lines)))
-            piece = lines[block : block + int(rng.integers(1, 4))]
-            if rng.random() < 0.3:
-                half = piece[0].split(" ")
-                piece = [" ".join(half[: len(half) // 2])]
-            at = int(rng.integers(block + 1, len(lines) + 1))
-            lines[at:at] = piece * int(rng.integers(1, 4))
-        made.append("\n".join(lines))
-    made.append("one two three four five six\none two three four five six\nseven")
-    lines = Lines(made)
-    return Field.fit([(lines, (np.maximum(lines.share, lines.cover) >= 0.25).astype(float))])
+            own = [i for i, (_, copy) in enumerate(pieces) if not copy]
+            block = int(rng.choice(own))
+            source = [x for x, copy in pieces[block : block + int(rng.integers(1, 4))] if not copy]
+            words = source[0].split(" ")
+            form = rng.random()
+            if form < 0.35 and len(words) >= 6:
+                size = int(rng.integers(5, max(6, min(12, len(words)))))
+                begin = int(rng.integers(0, len(words) - size + 1))
+                source = [" ".join(words[begin : begin + size]).strip() + " "]
+            elif form < 0.5 and len(words) > 8:
+                words = list(words)
+                words[int(rng.integers(0, len(words)))] = "иное"
+                source = [" ".join(words)]
+            at = int(rng.integers(block + 1, len(pieces) + 1))
+            pieces[at:at] = [(x, True) for x in source] * int(rng.integers(1, 5))
+        made = "".join(x for x, _ in pieces)
+        out.append((made, np.repeat([copy for _, copy in pieces], [len(x) for x, _ in pieces])))
+    return out
+
+
+def labelled(made: list[tuple[str, np.ndarray]]) -> tuple[Lines, np.ndarray]:
+    """The pieces of made texts, and which of them are boilerplate by the share of planted words."""
+    lines = Lines([t for t, _ in made])
+    mask = np.concatenate([m for _, m in made]) if made else np.zeros(0, bool)
+    share = np.bincount(lines.line, weights=mask[lines.first], minlength=len(lines.words)) / np.maximum(lines.words, 1)
+    return lines, (share >= PLANTED).astype(float)
+
+
+def fit_field(texts: list[str], seed: int = 7) -> Field:
+    """Fit on texts into which copies were planted; texts that repeat themselves already are left out."""
+    plain = [t for t in texts if len(t.lower()) == len(t)]
+    found = Lines(plain)
+    plain = [t for t, r in zip(plain, found.repeated) if not r]
+    # one more, so that a corpus without usable texts still has a field
+    plain.append("\n".join(f"строка номер {i} содержит слова {i * 7} {i * 11} {i * 13}" for i in range(1, 9)))
+    return Field.fit([labelled(planted(plain, seed))])
 
 
 def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,6 +256,11 @@ def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def repeating(docs: DataFrame, key: str = "doc_id", text: str = "text", least_runs: int = LEAST_RUNS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The keys of self-repeating texts: the labels choose candidates, the exact share decides."""
+    """The keys of self-repeating texts: the labels choose candidates, the exact share of repeated runs is held against them."""
     r = repetition(docs, key, text)
     return r.filter((F.col("content_share") < 1) & (F.col("n_runs") >= least_runs) & (F.col("repeated_runs") >= least_share * F.col("n_runs"))).select(key).distinct()
+
+
+def retained(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = RETAIN) -> DataFrame:
+    """(key, content_share, retained): whether a document has enough content, by its labels alone. Texts without words have nothing to lose and stay."""
+    return repetition(docs, key, text).select(key, "content_share", (F.col("content_share") >= least).alias("retained"))

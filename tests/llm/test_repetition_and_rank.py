@@ -135,3 +135,25 @@ def test_long_chain(spark):
     n = 40
     rows = [file(f"d{i}/n{i // 2}.pdf", f"s{(i + 1) // 2}") for i in range(n)]
     assert [r["n_paths"] for r in survivors(spark, rows)] == [n]
+
+
+def test_labels_of_planted_boilerplate_held_out(spark):
+    import numpy as np
+    from conftest import DATA
+
+    texts = sorted(r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) > 200").select("text").distinct().collect())
+    field = repetition.fit_field(texts[::2])
+    lines, truth = repetition.labelled(repetition.planted([t for t in texts[1::2] if not repetition.Lines([t]).repeated[0] and len(t) == len(t.lower())], 3))
+    label = field.decode(lines)
+    hit = ((label == 1) & (truth == 1)).sum()
+    assert hit >= 0.9 * label.sum() and hit >= 0.85 * truth.sum() and truth.sum() > 100
+    total = np.bincount(lines.text, lines.words)
+    share, real = (np.bincount(lines.text, lines.words * (x == 0)) / np.maximum(total, 1) for x in (label, truth))
+    assert ((share >= repetition.RETAIN) == (real >= repetition.RETAIN)).mean() >= 0.95
+
+
+def test_content_decides_retention(spark):
+    clean = " ".join(f"слово{i} значение{i * 3} число{i * 5}." for i in range(40))
+    rows = [(1, clean), (2, "\n".join(["Купить дешевые трубы и фитинги со склада сегодня"] * 30)), (3, None), (4, "  "), (5, "раз два")]
+    got = {r["doc_id"]: r["retained"] for r in repetition.retained(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: True}
