@@ -2,14 +2,18 @@
 
 Misread words. All words of the corpus are counted. Frequent words of one script are the dictionary;
 any other word's correction candidates come from a join on character q-grams inverted over the
-dictionary, and gradient-boosted trees rank them by how well known look-alikes explain the
-difference, by overlap and by frequency. The trees are fitted on dictionary words misread on
-purpose, and on pairs of dictionary words as the negatives.
+dictionary. The q-grams are positional: a dictionary word is cut into ``MISREAD`` + 1 even pieces, of
+which at least one stands unharmed in a word with up to ``MISREAD`` misread letters, at its place or
+shifted by as many characters as the word is longer or shorter. Gradient-boosted trees rank all
+candidates by how well known look-alikes explain the difference, by overlap and by frequency. The
+trees are fitted on dictionary words misread on purpose, and on pairs of dictionary words as the
+negatives. Words of one or two letters have too little to go by and are never corrected.
 
 Lines. Two classifiers of the same kind look at neighbouring lines: one says whether a hyphen at a
 line's end breaks a word, the other whether a line is furniture (page number, running header). They
 are fitted on sample texts set into pages on purpose, about ``SAMPLE`` of them; all else, counts
-and candidates, covers the whole corpus.
+and candidates, covers the whole corpus. A line with a number may be furniture, and one without if it
+recurs in its text.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.boost import Boosted
@@ -31,9 +36,11 @@ from tesserae.llm.spans import LETTER, NUMBER, char_values, chunks, classes, cod
 from tesserae.session import checkpoint
 
 #: Most texts the line classifiers are fitted on, and most words the ranking is fitted on.
-SAMPLE, SAMPLE_WORDS = 400, 1500
+SAMPLE, SAMPLE_WORDS = 1000, 1500
 #: A dictionary word occurs at least so often, and so many times as often as a misreading of it.
 LEAST, RATIO = 10, 12
+#: Misread letters of a word up to which every dictionary word is a candidate, and how much longer or shorter that may make it.
+MISREAD, LONGER, SHORTER = 3, 3, 1
 #: Most words whose hashes workers hold to pass over ordinary words quickly; it never changes a result.
 LEXICON = 200_000
 ACCEPT = 0.5
@@ -50,7 +57,9 @@ LOOKS = tuple(
     }.items()
     for b in bs.split(" ")
 )
-_LOOK_SET = frozenset(LOOKS)
+#: Two letters that may be read as the one they look like (true, read).
+MERGED = tuple((b, a) for a, b in LOOKS if len(b) == 2 and re.fullmatch("[a-z]{2}|[а-яё]{2}", b))
+_LOOK_SET = frozenset(LOOKS + MERGED)
 _BREAK = re.compile(rf"([^\W\d_])[{HYPHENS}][ \t]*(?:\r\n|\r|\n)\s*([^\W\d_])")
 _CODE = re.compile(r"[^\W_]{1,5}(?:[-.][^\W_]{1,8}){2,}|[^\W\d_]{2,4}-\d+[^\W\d_]\d+")
 _LINE = re.compile(r"\r\n|\r|\n")
@@ -100,7 +109,7 @@ def tokens(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.nda
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     sums = np.concatenate([[0], np.cumsum(letter)])
     letters = sums[end] - sums[start]
-    keep = (letters * 2 > end - start) & (end - start >= 2) & (end - start <= 40) & ~_in_codes(codes, kind, first, start)
+    keep = (letters * 2 > end - start) & (end - start >= 2) & ~_in_codes(codes, kind, first, start)
     start, end = start[keep], end[keep]
     return "".join(plain), start, end, span_hashes(char_values(codes), start, end), np.searchsorted(starts, start, "right") - 1
 
@@ -170,8 +179,7 @@ def explained(read: str, true: str) -> tuple[int, int]:
         return 1, 0
     if not a and not b:
         return 0, 0
-    if len(a) > 14 or len(b) > 14:
-        return 0, max(len(a), len(b))
+    wide = _band(max(len(a), len(b)))
     best = {(0, 0): (0, 0)}
     cost = lambda c: c[0] + 5 * c[1]
     for i in range(len(b) + 1):
@@ -180,6 +188,8 @@ def explained(read: str, true: str) -> tuple[int, int]:
             if now is None:
                 continue
             steps = []
+            if j < len(a) and (b[i : i + 2], a[j]) in _LOOK_SET:
+                steps.append((i + 2, j + 1, (now[0] + 1, now[1])))
             if i < len(b) and j < len(a) and a[j] == b[i]:
                 steps.append((i + 1, j + 1, now))
             if i < len(b):
@@ -190,9 +200,14 @@ def explained(read: str, true: str) -> tuple[int, int]:
             if j < len(a):
                 steps.append((i, j + 1, (now[0], now[1] + 1)))
             for x, y, c in steps:
-                if (x, y) not in best or cost(c) < cost(best[x, y]):
+                if abs(x - y) <= wide and ((x, y) not in best or cost(c) < cost(best[x, y])):
                     best[x, y] = c
-    return best[len(b), len(a)]
+    return best.get((len(b), len(a)), (0, max(len(a), len(b))))
+
+
+def _band(size: int) -> int:
+    """How far the places of two words may drift apart; long words are aligned near the diagonal only."""
+    return size if size <= 14 else 8
 
 
 _SEEN = sorted({c for pair in LOOKS for x in pair for c in x})
@@ -200,8 +215,11 @@ _PLACE = np.zeros(0x3000, np.uint8)
 _PLACE[[ord(c) for c in _SEEN]] = np.arange(1, len(_SEEN) + 1)
 _ONE = np.zeros((len(_SEEN) + 1,) * 2, bool)
 _TWO = np.zeros((len(_SEEN) + 1,) * 3, bool)
+_PAIR = np.zeros((len(_SEEN) + 1,) * 3, bool)
 for _a, _b in LOOKS:
     (_ONE if len(_b) == 1 else _TWO)[tuple(_PLACE[[ord(c) for c in _a + _b]])] = True
+for _a, _b in MERGED:
+    _PAIR[tuple(_PLACE[[ord(c) for c in _a + _b]])] = True
 
 
 def explained_all(reads: list[str], trues: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,38 +227,52 @@ def explained_all(reads: list[str], trues: list[str]) -> tuple[np.ndarray, np.nd
     rest = [difference(r, t) for r, t in zip(reads, trues)]
     la, lb = (np.array([len(x[i]) for x in rest], np.int64) for i in (0, 1))
     size = np.maximum(la, lb)
-    looks, edits = np.zeros(len(rest), np.int64), np.where(size > 14, size, 0)
-    for low, high in ((0, 3), (3, 6), (6, 9), (9, 14)):
+    looks, edits = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
+    tops = [0, 3, 6, 9, 14]
+    while len(size) and tops[-1] < size.max():
+        tops.append(2 * tops[-1])
+    for low, high in zip(tops, tops[1:]):
         rows = np.flatnonzero((size > low) & (size <= high))
         if not len(rows):
             continue
         # padded to one length, a column of codes for each place
         a, b = (np.array([rest[r][i] for r in rows], f"U{high}").view(np.uint32).reshape(-1, high).T for i in (0, 1))
         pa_, pb = (np.where(x < len(_PLACE), _PLACE[np.minimum(x, len(_PLACE) - 1)], 0) for x in (a, b))
-        # 64 times the cost, and the edits; a later way must cost less to be taken
-        better = lambda now, new: np.where(new >> 6 < now >> 6, new, now)
-        look, edit, never = 64, 5 * 64 + 1, np.full(len(rows), 1 << 14, np.int16)
-        last: list[np.ndarray] = []
+        # the cost in the upper half, the edits in the lower; a later way must cost less to be taken
+        kind = np.int16 if high <= 14 else np.int64
+        shift = 6 if high <= 14 else 24
+        better = lambda now, new: np.where(new >> shift < now >> shift, new, now)
+        look, edit, never = kind(1 << shift), kind((5 << shift) + 1), np.full(len(rows), (1 << 14) if high <= 14 else (1 << 56), kind)
+        wide = np.where(size[rows] <= 14, high, 8)
+        history: list[list[np.ndarray]] = []
         for i in range(high + 1):
             row: list[np.ndarray] = []
             for j in range(high + 1):
-                v = never if i or j else np.zeros(len(rows), np.int16)
-                if i:
-                    if j > 1:
-                        v = better(v, np.where(_TWO[pb[i - 1], pa_[j - 2], pa_[j - 1]], last[j - 2] + look, never))
+                v = never if i or j else np.zeros(len(rows), kind)
+                if abs(i - j) <= 9 or high <= 14:
+                    last = history[-1] if i else row
+                    if i > 1 and j:
+                        v = better(v, np.where(_PAIR[pb[i - 2], pb[i - 1], pa_[j - 1]], history[-2][j - 1] + look, never))
+                    if i:
+                        if j > 1:
+                            v = better(v, np.where(_TWO[pb[i - 1], pa_[j - 2], pa_[j - 1]], last[j - 2] + look, never))
+                        if j:
+                            cost = np.where(b[i - 1] == a[j - 1], 0, np.where(_ONE[pb[i - 1], pa_[j - 1]], look, edit)).astype(kind)
+                            v = better(v, last[j - 1] + cost)
+                        v = better(v, last[j] + edit)
                     if j:
-                        cost = np.where(b[i - 1] == a[j - 1], 0, np.where(_ONE[pb[i - 1], pa_[j - 1]], look, edit)).astype(np.int16)
-                        v = better(v, last[j - 1] + cost)
-                    v = better(v, last[j] + np.int16(edit))
-                if j:
-                    v = better(v, row[j - 1] + np.int16(edit))
+                        v = better(v, row[j - 1] + edit)
+                    # beyond the band there is no way on
+                    v = np.where(abs(i - j) <= wide, v, never)
                 row.append(v)
-            last = row
+            history = [*history[-1:], row]
             at = np.flatnonzero(lb[rows] == i)
             if len(at):
                 v = np.stack(row)[la[rows[at]], at].astype(np.int64)
-                edits[rows[at]] = v & 63
-                looks[rows[at]] = (v >> 6) - 5 * (v & 63)
+                lost = v >= int(never[0])
+                e = v & ((1 << shift) - 1)
+                edits[rows[at]] = np.where(lost, size[rows[at]], e)
+                looks[rows[at]] = np.where(lost, 0, (v >> shift) - 5 * e)
     return looks, edits
 
 
@@ -275,18 +307,27 @@ def fit_ranking(words: list[tuple[str, int]], seed: int = 1) -> Boosted:
         c = Counter(i for g in bigrams(word) for i in posts.get(g, ()) if i != but and abs(len(words[i][0]) - len(word)) <= 1)
         return c.most_common(3)
 
+    def seldom(n: float) -> float:
+        """How often a misreading of a word of that count may occur: any part of it from 1 / RATIO down to once."""
+        return max(1.0, n / float(np.exp(rng.uniform(np.log(RATIO), np.log(max(RATIO + 1, n))))))
+
     looks: dict[str, list[str]] = {}
     for a, b in LOOKS:
         looks.setdefault(a, []).append(b)
     for i, (w, n) in enumerate(words):
+        merged = [(t, r) for t, r in MERGED if t in w]
         for _ in range(2):
             spots = [p for p, c in enumerate(w) if c in looks]
-            if spots:
+            if spots or merged:
                 read = list(w)
-                for p in rng.choice(spots, min(len(spots), 1 + int(rng.random() < 0.25)), replace=False):
-                    read[p] = str(rng.choice(looks[w[p]]))
+                if merged and (not spots or rng.random() < 0.3):
+                    t, r = merged[int(rng.integers(0, len(merged)))]
+                    read = list(w.replace(t, r, 1))
+                else:
+                    for p in rng.choice(spots, min(len(spots), 1 + int(rng.random() < 0.25)), replace=False):
+                        read[p] = str(rng.choice(looks[w[p]]))
                 read = "".join(read)
-                rare = max(1.0, n / float(rng.integers(RATIO, 2000)))
+                rare = seldom(n)
                 x.append(pair_features(read, rare, w, n, len(bigrams(read) & bigrams(w))))
                 y.append(1)
                 for j, shared in near(read, i):
@@ -296,7 +337,7 @@ def fit_ranking(words: list[tuple[str, int]], seed: int = 1) -> Boosted:
             m = words[j][1]
             looks_only = explained(w, words[j][0])
             if looks_only[1]:
-                x.append(pair_features(w, max(1.0, m / float(rng.integers(RATIO, 2000))), words[j][0], m, shared))
+                x.append(pair_features(w, seldom(m), words[j][0], m, shared))
                 y.append(0)
     return Boosted().fit(np.array(x), np.array(y, float)) if x else Boosted(rounds=0).fit(np.zeros((1, 8)), np.zeros(1))
 
@@ -307,14 +348,30 @@ def corrections(vocab: DataFrame) -> DataFrame:
     dictionary = vocab.filter(pure & (F.col("n") >= LEAST))
     sample = [(r["word"], r["n"]) for r in most_frequent(dictionary, "n", SAMPLE_WORDS)]
     model = fit_ranking(sample)
+    pieces = MISREAD + 1
+    part = lambda size, i: (F.floor(size * i / pieces), F.floor(size * (i + 1) / pieces))
+
+    def cut(word: Column, size: Column, i: Column, shift: Column) -> Column:
+        begin, end = part(size, i)
+        begin, end = begin + shift, end + shift
+        whole = (end > begin) & (begin >= 0) & (end <= F.length(word))
+        return F.when(whole, F.substring(word, (begin + 1).cast("int"), (end - begin).cast("int")))
+
+    size = F.length("word")
+    each = F.explode(F.array(*map(F.lit, range(pieces)))).alias("i")
+    d = dictionary.select(F.col("word").alias("true"), F.col("n").alias("m"), size.alias("len"), each)
+    d = d.select("true", "m", "len", "i", cut(F.col("true"), F.col("len"), F.col("i"), F.lit(0)).alias("g")).filter("g is not null")
+    # how much longer the word is than the true one, and how far a piece may have moved
+    ways = [(i, more, shift) for i in range(pieces) for more in range(-SHORTER, LONGER + 1) for shift in range(min(0, more), max(0, more) + 1)]
+    way = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(more).alias("more"), F.lit(shift).alias("shift")) for i, more, shift in ways))).alias("w")
+    # a word too frequent for any dictionary word to be RATIO times as frequent is no misreading
+    most = dictionary.agg(F.max("n")).first()[0] or 0
+    s = vocab.filter((F.length("word") >= 2) & (F.col("n") * RATIO <= most)).select("word", "n", way).withColumn("len", F.length("word") - F.col("w.more"))
+    s = s.select("word", "n", "len", "w.i", cut(F.col("word"), F.col("len"), F.col("w.i"), F.col("w.shift")).alias("g")).filter("g is not null and len >= 3")
+    hits = s.join(d, ["len", "i", "g"]).filter((F.col("m") >= RATIO * F.col("n")) & (F.col("word") != F.col("true")))
+    pairs = hits.groupBy("word", "true").agg(F.first("n").alias("n"), F.first("m").alias("m"))
     gram = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2))))
-    d = dictionary.select(F.col("word").alias("true"), F.col("n").alias("m"), F.length("word").alias("len"), F.explode(gram(F.col("word"))).alias("g"))
-    mixed = ~F.col("word").rlike(r"^[а-яё]+$") & ~F.col("word").rlike(r"^[a-zäöüß]+$")
-    s = vocab.filter((F.length("word") >= 3)).select("word", "n", mixed.alias("mixed"), F.explode(gram(F.col("word"))).alias("g"))
-    # a letter may be read as one or two characters, so the true word is as long or a little shorter
-    s = s.withColumn("len", F.explode(F.array(*(F.length("word") - i for i in range(3)))))
-    hits = s.join(d, ["g", "len"]).filter((F.col("m") >= RATIO * F.col("n")) & (F.col("word") != F.col("true")))
-    shared = hits.groupBy("word", "true").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("len").alias("len"))
+    shared = pairs.withColumn("shared", F.size(F.array_intersect(gram(F.col("word")), gram(F.col("true")))))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,9 +381,12 @@ def corrections(vocab: DataFrame) -> DataFrame:
             likely = pa.array(p >= ACCEPT)
             yield pa.record_batch([b.column("word"), b.column("true"), pa.array(p)], ["word", "correction", "p"]).filter(likely)
 
-    # every candidate is scored: neither the bigrams it shares nor its place among the others leave one out
+    # every candidate is scored: neither its place among the others nor the grams it shares leave one out
     scored = shared.select("word", "n", "true", "m", "shared").mapInArrow(rank, "word string, correction string, p double")
-    best = scored.groupBy("word").agg(F.max(F.struct("p", "correction")).alias("b"))
+    scored = checkpoint(scored)
+    # what is a misreading itself corrects nothing
+    sound = scored.join(scored.select(F.col("word").alias("correction")).distinct(), "correction", "left_anti")
+    best = sound.groupBy("word").agg(F.max(F.struct("p", "correction")).alias("b"))
     return best.select("word", F.col("b.correction").alias("correction"), F.col("b.p").alias("p"))
 
 
@@ -334,10 +394,11 @@ def corrections(vocab: DataFrame) -> DataFrame:
 
 _PAGE = re.compile(r"^\W*(?:(?:стр|страница|лист|с|л|page|pg|p|seite|s|blatt)\b\.?\s*)?(?P<n>\d{1,4})\s*(?:(?:из|of|von|/)\s*\d{1,4})?\W*$", re.I)
 _BARE = re.compile(r"^\d{1,4}$")
+_ENDING = re.compile(r"\d{1,4}[.;:,!?]+")
 _LIST = re.compile(r"^\d{1,3}[.)]")
 _TAIL = re.compile(r"^(?P<title>.*\S)(?: {2,}|\t+| *\| *)(?P<n>\d{1,4})$|^(?P<m>\d{1,4})(?: {2,}|\t+)(?P<rest>\S.*)$")
 _NUM = re.compile(r"\d[\d./-]*\d|\d")
-FURNITURE = 18
+FURNITURE = 21
 
 
 class Page:
@@ -349,13 +410,15 @@ class Page:
         self.full = [i for i, x in enumerate(self.lines) if x]
         sizes = sorted(len(self.lines[i]) for i in self.full)
         self.width = sizes[int(0.8 * (len(sizes) - 1))] if sizes else 0
+        self.short = sum(x < 30 for x in sizes) / max(1, len(sizes))
+        self.times = Counter(map(self.shape, (self.lines[i] for i in self.full))) if len(self.full) > 1 else Counter()
 
     def candidates(self) -> list[int]:
-        """Places in full of the lines that are short enough, hold a number and don't end a sentence."""
+        """Places in full of the lines that hold a number or recur, and don't end a sentence."""
         out = []
         for k, i in enumerate(self.full):
             x = self.lines[i]
-            if len(x) <= 90 and any(map(str.isdigit, x)) and (x[-1] not in ".;:,!?" or _PAGE.match(x)) and x.count("|") < 2 and not _CODE.fullmatch(x):
+            if (any(map(str.isdigit, x)) or (self.times[self.shape(x)] > 1 and any(map(str.isalpha, x)))) and (x[-1] not in ".;:,!?" or (_PAGE.match(x) and not _ENDING.fullmatch(x))) and x.count("|") < 2 and not _CODE.fullmatch(x):
                 out.append(k)
         return out
 
@@ -411,7 +474,7 @@ class Page:
                 codes[code] if code else 0, len(near), bool(b2) and b2[-1] not in ".!?:;", bool(a2) and (a2[0].islower()),
                 bool(b2) and b2[-1] in HYPHENS, i > 0 and not self.lines[i - 1], i + 1 < len(self.lines) and not self.lines[i + 1],
                 code is not None and len(code) >= 5, len(t) / max(1, self.width), len(before) / max(1, self.width), t[0].isupper(),
-                sum(map(str.isupper, t)) / max(1, sum(map(str.isalpha, t))), any(map(str.isdigit, before)) and len(before) < 25, k == 0 or k + 1 == len(self.full),
+                sum(map(str.isupper, t)) / max(1, sum(map(str.isalpha, t))), any(map(str.isdigit, before)) and len(before) < 25, k == 0 or k + 1 == len(self.full), min(5, self.times[self.shape(t)]), min(200, max(60, len(t))), self.short,
             )
         return x
 
@@ -424,16 +487,23 @@ class Page:
 
 
 JOIN = 7
+#: What tells one break of a line from another: the pieces, the mark, and whether the second begins small and both are without digits.
+BREAK = "mark boolean, left string, right string, small boolean, plain boolean"
 
 
-def join_features(left: str, right: str, known) -> list[float]:
-    """Of a line's end (with its hyphen) and the beginning of the next line of text."""
+def break_key(left: str, right: str) -> tuple | None:
+    """A line's end (with its hyphen) and the beginning of the next line of text, as in ``BREAK``; None if there are no pieces."""
     a = re.search(r"(\w+)(.)$", left)
     b = re.match(r"\w+", right)
     if not a or not b:
-        return [0.0] * JOIN
-    a1, mark, b1 = a[1].lower(), a[2], b[0].lower()
-    return [float(mark == "-"), float(known(a1 + b1)), float(known(a1)), float(known(b1)), float(b[0][0].islower()), float(not any(map(str.isdigit, a1 + b1))), len(a1) + len(b1)]
+        return None
+    a1, b1 = a[1].lower(), b[0].lower()
+    return a[2] == "-", a1, b1, b[0][0].islower(), not any(map(str.isdigit, a1 + b1))
+
+
+def join_features(key: tuple, known) -> list[float]:
+    mark, a, b, small, plain = key
+    return [float(mark), float(known(a + b)), float(known(a)), float(known(b)), float(small), float(plain), len(a) + len(b)]
 
 
 def breaks(page: Page, gone: set[int]) -> Iterator[tuple[int, int]]:
@@ -449,27 +519,23 @@ class LineModels:
     def __init__(self, furniture: Boosted, join: Boosted) -> None:
         self.furniture, self.join = furniture, join
 
-    def judge(self, text: str, known) -> tuple[Page, dict[int, list[str]], list[tuple[int, int, bool]]]:
-        return self.judge_all([text], known)[0]
+    def judge(self, text: str) -> tuple[Page, dict[int, list[str]], list[tuple[int, int, tuple]]]:
+        return self.judge_all([text])[0]
 
-    def judge_all(self, texts: list[str], known) -> list[tuple[Page, dict[int, list[str]], list[tuple[int, int, bool]]]]:
-        """For each text its page, its furniture lines with their kinds, and the hyphens at line ends
-        with whether they break a word. The trees run once over the lines of all texts."""
+    def judge_all(self, texts: list[str]) -> list[tuple[Page, dict[int, list[str]], list[tuple[int, int, tuple]]]]:
+        """For each text its page, its furniture lines with their kinds, and the hyphens at line ends with
+        what the join classifier needs. The trees run once over the lines of all texts."""
         pages = [Page(t) for t in texts]
         places = [p.candidates() if len(p.full) > 1 else [] for p in pages]
         x = [p.features(k) for p, k in zip(pages, places)]
         is_ = self.furniture.predict(np.concatenate(x)) >= 0.5 if any(map(len, x)) else np.zeros(0, bool)
-        at, gone = 0, []
-        for p, k in zip(pages, places):
-            gone.append({i: p.kinds(i) for i, yes in zip(k, is_[at : at + len(k)]) if yes})
-            at += len(k)
-        pairs = [list(breaks(p, set(g))) if _OPEN.search(t) else [] for t, p, g in zip(texts, pages, gone)]
-        x = [join_features(p.lines[p.full[k]], p.lines[p.full[j]], known) for p, ks in zip(pages, pairs) for k, j in ks]
-        is_ = self.join.predict(np.array(x)) >= 0.5 if x else np.zeros(0, bool)
         at, out = 0, []
-        for p, g, ks in zip(pages, gone, pairs):
-            out.append((p, g, [(k, j, bool(yes)) for (k, j), yes in zip(ks, is_[at : at + len(ks)])]))
-            at += len(ks)
+        for t, p, k in zip(texts, pages, places):
+            gone = {i: p.kinds(i) for i, yes in zip(k, is_[at : at + len(k)]) if yes}
+            at += len(k)
+            pairs = breaks(p, set(gone)) if _OPEN.search(t) else ()
+            keys = ((i, j, break_key(p.lines[p.full[i]], p.lines[p.full[j]])) for i, j in pairs)
+            out.append((p, gone, [x for x in keys if x[2]]))
         return out
 
 
@@ -509,11 +575,28 @@ def set_in_pages(text: str, titles: list[str], rng: np.random.Generator) -> tupl
 def fit_lines(texts: list[str], words: list[str], seed: int = 2) -> LineModels:
     """On sample texts set into pages, and on the lines of texts without any mark of a scan as they are."""
     rng = np.random.default_rng(seed)
-    marks = ("РТН", "НТД", "ВИТ", "СП", "Doc", "Blatt", "Отчёт", "Том", "Sheet")
     names = [w for w in words if len(w) > 4] or ["общие", "указания"]
-    titles = [f"{rng.choice(marks)} {rng.integers(100, 999)}{rng.choice(['.', '/'])}{rng.integers(10, 99)}{f'.{rng.integers(1, 60)}' if rng.random() < 0.7 else ''} {' '.join(map(str, (lambda w: [w[0].capitalize() if rng.random() < 0.7 else w[0], *w[1:]])(rng.choice(names, int(rng.integers(1, 4))))))}" for _ in range(200)]
+    marks = [w for w in words if 2 <= len(w) <= 5] or ["том", "лист"]
+
+    def title() -> str:
+        """Words of the corpus, some with a mark in capitals and a number before them, as sheets and norms are named."""
+        said = [w.capitalize() if rng.random() < 0.7 else w for w in map(str, rng.choice(names, int(rng.integers(1, 4))))]
+        if rng.random() < 0.2:
+            return " ".join([said[0].capitalize(), *said[1:]])
+        mark = str(rng.choice(marks))
+        mark = mark.upper() if rng.random() < 0.7 else mark.capitalize()
+        tail = f".{rng.integers(1, 60)}" if rng.random() < 0.7 else ""
+        return f"{mark} {rng.integers(100, 999)}{rng.choice(['.', '/'])}{rng.integers(10, 99)}{tail} {' '.join(said)}"
+
+    titles = [title() for _ in range(200)]
     fx, fy, jx, jy = [], [], [], []
     known = set(words)
+
+    def learn(left: str, right: str, is_: float) -> None:
+        if key := break_key(left, right):
+            jx.append(join_features(key, known.__contains__))
+            jy.append(is_)
+
     for t in texts:
         t = tidy(t)
         page = Page(t)
@@ -537,16 +620,12 @@ def fit_lines(texts: list[str], words: list[str], seed: int = 2) -> LineModels:
         if len(w) > 5 and w.isalpha():
             cut = int(rng.integers(2, len(w) - 2))
             mark = HYPHENS[int(rng.integers(0, 4))]
-            jx.append(join_features(w[:cut] + mark, w[cut:], known.__contains__))
-            jy.append(1.0)
+            learn(w[:cut] + mark, w[cut:], 1.0)
             blur = w[:cut] + "†" + w[cut + 1 :]
-            jx.append(join_features(blur[:cut] + mark, blur[cut + 1 :], known.__contains__))
-            jy.append(1.0)
+            learn(blur[:cut] + mark, blur[cut + 1 :], 1.0)
             other = str(rng.choice(names))
-            jx.append(join_features(w + "-", other, known.__contains__))
-            jy.append(0.0)
-            jx.append(join_features(w + "-", other.capitalize(), known.__contains__))
-            jy.append(0.0)
+            learn(w + "-", other, 0.0)
+            learn(w + "-", other.capitalize(), 0.0)
     furniture = Boosted().fit(np.concatenate(fx), np.concatenate(fy)) if fx else Boosted(rounds=0).fit(np.zeros((1, FURNITURE)), np.zeros(1))
     join = Boosted(rounds=30).fit(np.array(jx), np.array(jy)) if jx else Boosted(rounds=0).fit(np.zeros((1, JOIN)), np.zeros(1))
     return LineModels(furniture, join)
@@ -565,6 +644,7 @@ class Scans:
         vocab = checkpoint(vocabulary(docs))
         self.wrong = checkpoint(corrections(vocab))
         good = vocab.join(self.wrong, "word", "left_anti").filter(F.col("word").rlike(r"^[а-яё]+$") | F.col("word").rlike(r"^[a-zäöüß]+$"))
+        self.known = good.filter(F.col("n") >= LEAST).select("word")
         top = most_frequent(good.filter(F.col("n") > 1), "n", LEXICON)
         ordinary = [r["word"] for r in top]
         frequent = [r["word"] for r in top if r["n"] >= LEAST]
@@ -572,16 +652,17 @@ class Scans:
         self.models = fit_lines(texts, frequent)
         codes, starts = code_points(ordinary)
         skip = np.unique(span_hashes(char_values(codes), starts[:-1], starts[1:])) if ordinary else np.zeros(0, np.uint64)
-        self.lexicon = docs.sparkSession.sparkContext.broadcast((skip, frozenset(frequent)))
+        self.ordinary = docs.sparkSession.sparkContext.broadcast(skip)
 
-    def found(self) -> DataFrame:
-        """(src, row_key, noise): a row for each kind of noise in a text."""
-        models, lexicon = self.models, self.lexicon
+    @cached_property
+    def seen(self) -> DataFrame:
+        """(src, row_key, kinds, breaks, odd): of each text that may be noisy its furniture, its hyphens at line ends and its words off the lexicon."""
+        models, ordinary = self.models, self.ordinary
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            skip, frequent = lexicon.value
+            skip = ordinary.value
             for b in batches:
-                begin, kinds, odd = 0, [], []
+                kinds, cuts, odd = [], [], []
                 for part in chunks(b.column(2)):
                     texts = part.to_pylist()
                     joined, start, end, key, of = tokens(texts)
@@ -593,19 +674,42 @@ class Scans:
                     odd += [sorted(w) for w in words]
                     lined = [i for i, t in enumerate(texts) if t and _LINE.search(t)]
                     found: list[set[str]] = [set() for _ in texts]
-                    for i, (_, gone, joins) in zip(lined, models.judge_all([tidy(texts[i]) for i in lined], frequent.__contains__)):
+                    open_: list[set[tuple]] = [set() for _ in texts]
+                    for i, (_, gone, joins) in zip(lined, models.judge_all([tidy(texts[i]) for i in lined])):
                         found[i].update(x for k in gone.values() for x in k)
-                        if any(ok for *_, ok in joins):
-                            found[i].add("broken_word")
+                        open_[i].update(key for *_, key in joins)
                     kinds += map(sorted, found)
-                    begin += len(texts)
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(odd, pa.list_(pa.string()))], ["src", "row_key", "kinds", "odd"])
+                    cuts += [[dict(zip(_BREAK_NAMES, k)) for k in sorted(x)] for x in open_]
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(cuts, _BREAKS), pa.array(odd, pa.list_(pa.string()))], ["src", "row_key", "kinds", "breaks", "odd"])
+
+        rows = self.docs.select("src", "row_key", "text").mapInArrow(look, f"src string, row_key string, kinds array<string>, breaks array<struct<{BREAK.replace(' ', ': ').replace(',:', ',')}>>, odd array<string>")
+        return checkpoint(rows.filter("size(kinds) > 0 or size(breaks) > 0 or size(odd) > 0"))
+
+    @cached_property
+    def joined(self) -> DataFrame:
+        """The different breaks (as in ``BREAK``) that part a word: what is known of their pieces is joined, not carried along."""
+        pairs = self.seen.select(F.explode("breaks").alias("b")).select("b.*").distinct()
+        for name, word in (("k0", F.concat("left", "right")), ("k1", F.col("left")), ("k2", F.col("right"))):
+            known = self.known.select(F.col("word").alias("_w"), F.lit(True).alias(name))
+            pairs = pairs.join(known, word == F.col("_w"), "left").drop("_w")
+        model = self.models.join
+
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(r, (r["left"] + r["right"], r["left"], r["right"]), (r["k0"], r["k1"], r["k2"])) for r in b.to_pylist()]
+                x = [join_features(tuple(r[n] for n in _BREAK_NAMES), dict(zip(words, is_)).get) for r, words, is_ in rows]
+                yes = model.predict(np.array(x, float)) >= 0.5 if x else np.zeros(0, bool)
+                yield b.select(_BREAK_NAMES).filter(pa.array(yes, pa.bool_()))
 
-        seen = self.docs.select("src", "row_key", "text").mapInArrow(look, "src string, row_key string, kinds array<string>, odd array<string>")
-        seen = checkpoint(seen.filter("size(kinds) > 0 or size(odd) > 0"))
-        lines = seen.select("src", "row_key", F.explode("kinds").alias("noise"))
-        misread = seen.select("src", "row_key", F.explode("odd").alias("word")).join(self.wrong.select("word"), "word", "left_semi")
-        return lines.union(misread.select("src", "row_key", F.lit("wrong_character"))).distinct()
+        flat = pairs.select(*_BREAK_NAMES, *(F.coalesce(k, F.lit(False)).alias(k) for k in ("k0", "k1", "k2")))
+        return checkpoint(flat.mapInArrow(decide, BREAK))
+
+    def found(self) -> DataFrame:
+        """(src, row_key, noise): a row for each kind of noise in a text."""
+        lines = self.seen.select("src", "row_key", F.explode("kinds").alias("noise"))
+        broken = self.seen.select("src", "row_key", F.explode("breaks").alias("b")).select("src", "row_key", "b.*").join(self.joined, list(_BREAK_NAMES), "left_semi")
+        misread = self.seen.select("src", "row_key", F.explode("odd").alias("word")).join(self.wrong.select("word"), "word", "left_semi")
+        return lines.union(broken.select("src", "row_key", F.lit("broken_word"))).union(misread.select("src", "row_key", F.lit("wrong_character"))).distinct()
 
     def repaired(self) -> DataFrame:
         """(src, row_key, text) of the texts with noise, as continuous paragraphs.
@@ -614,28 +718,32 @@ class Scans:
         lines of a paragraph joined by blanks; blank lines and ends of sentences before short lines
         keep paragraphs apart.
         """
-        models, lexicon = self.models, self.lexicon
-        keys = self.found().select("src", "row_key").distinct()
-        rows = self.docs.select("src", "row_key", "text").distinct().join(keys, ["src", "row_key"])
-        # the corrections of a text travel with it; they are at most its own distinct words
-        words = rows.select("src", "row_key", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", rf"([\p{{L}}])[{HYPHENS}][ \t]*\R\s*([\p{{L}}])", "$1$2")), r"[^\p{L}\p{N}†>}̆̈]+"))).alias("word"))
-        fix = words.join(self.wrong, "word").groupBy("src", "row_key").agg(F.map_from_entries(F.collect_set(F.struct("word", "correction"))).alias("fix"))
-        rows = rows.join(fix, ["src", "row_key"], "left")
+        models = self.models
+        # what is to be done to a text travels with it; it is at most its own distinct words and breaks
+        fix = self.seen.select("src", "row_key", F.explode("odd").alias("word")).join(self.wrong, "word").groupBy("src", "row_key").agg(F.collect_set(F.struct("word", "correction")).alias("fix"))
+        joins = self.seen.select("src", "row_key", F.explode("breaks").alias("b")).select("src", "row_key", "b.*").join(self.joined, list(_BREAK_NAMES), "left_semi").groupBy("src", "row_key").agg(F.collect_set(F.struct(*_BREAK_NAMES)).alias("joins"))
+        lines = self.seen.filter("size(kinds) > 0").select("src", "row_key").distinct()
+        todo = fix.join(joins, ["src", "row_key"], "full_outer").join(lines, ["src", "row_key"], "full_outer")
+        # only the texts with noise are told apart from their copies
+        rows = self.docs.select("src", "row_key", "text").join(todo, ["src", "row_key"]).dropDuplicates(["src", "row_key", "text"])
 
         def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, frequent = lexicon.value
             for b in batches:
                 out = []
-                for t, fix in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    out.append(mended(t, dict(fix or []), models, frequent.__contains__))
+                for t, fix, joins in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                    out.append(mended(t, {x["word"]: x["correction"] for x in fix or ()}, models, {tuple(x[n] for n in _BREAK_NAMES) for x in joins or ()}))
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string())], ["src", "row_key", "text"])
 
-        return rows.select("src", "row_key", "text", "fix").mapInArrow(mend, "src string, row_key string, text string")
+        return rows.select("src", "row_key", "text", "fix", "joins").mapInArrow(mend, "src string, row_key string, text string")
+
 
+_BREAK_NAMES = tuple(x.split(" ")[0] for x in BREAK.split(", "))
+_BREAKS = pa.list_(pa.struct([(n, pa.string() if n in ("left", "right") else pa.bool_()) for n in _BREAK_NAMES]))
 
-def mended(text: str, fix: dict[str, str], models: LineModels, known) -> str:
-    page, gone, joins = models.judge(tidy(text), known)
-    joined = {k: ok for k, _, ok in joins}
+
+def mended(text: str, fix: dict[str, str], models: LineModels, joins: set[tuple]) -> str:
+    page, gone, cuts = models.judge(tidy(text))
+    joined = {k: key in joins for k, _, key in cuts}
     out: list[str] = []
     glue = ""
     place = {i: k for k, i in enumerate(page.full)}
@@ -661,10 +769,16 @@ def mended(text: str, fix: dict[str, str], models: LineModels, known) -> str:
         blank = False
     done = "\n\n".join(out).replace(chr(0xAD), "")
 
-    def swap(m: re.Match) -> str:
-        w = fix.get(m[0].lower())
-        if w is None:
-            return m[0]
-        return w.upper() if m[0].isupper() and len(w) > 1 else w.capitalize() if m[0][0].isupper() else w
-
-    return re.sub(r"[\w†>}]+", swap, done) if fix else done
+    if not fix:
+        return done
+    # the same words as are looked for: item codes and the like stay as they are
+    low, start, end, _, _ = tokens([done])
+    if len(low) != len(done):
+        return done
+    parts, at = [], 0
+    for i, j in zip(start.tolist(), end.tolist()):
+        if w := fix.get(low[i:j]):
+            read = done[i:j]
+            parts += [done[at:i], w.upper() if read.isupper() and len(w) > 1 else w.capitalize() if read[0].isupper() else w]
+            at = j
+    return "".join(parts) + done[at:]

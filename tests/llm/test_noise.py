@@ -79,3 +79,34 @@ def test_every_candidate_is_ranked(spark):
     assert len(near) > 12 and len({w for w, _ in vocab}) == len(vocab)
     got = {r["word"]: r["correction"] for r in noise.corrections(spark.createDataFrame(vocab, "word string, n bigint")).collect()}
     assert got.get("рeжe") == "реже"
+
+
+def test_long_words_are_counted_and_corrected(spark):
+    long = "электрогидрогазодинамическиуравновешенный"
+    assert len(long) > 40
+    vocab = [(w, 400) for w in WORDS if len(w) > 2] + [(long, 300), (long.replace("гидро", "гидр0"), 1)]
+    got = {r["word"]: r["correction"] for r in noise.corrections(spark.createDataFrame(vocab, "word string, n bigint")).collect()}
+    assert got.get(long.replace("гидро", "гидр0")) == long
+    joined, a, b, _, _ = noise.tokens([f"x {long} y"])
+    assert [joined[i:j] for i, j in zip(a, b)] == [long]
+
+
+def test_two_letters_read_as_one():
+    assert noise.explained("smoisture", "srnoisture")[1] == 0 and noise.explained("modem", "modern") == (1, 0)
+    long, read = "ab" * 20 + "rn" + "cd" * 10, "ab" * 20 + "m" + "ce" * 10
+    assert noise.explained(read, long)[1] > 0 and list(zip(*(x.tolist() for x in noise.explained_all([read], [long])))) == [noise.explained(read, long)]
+
+
+def test_furniture_without_numbers_and_long_headers():
+    head = "Общие указания по монтажу и наладке"
+    page = noise.Page("\n".join(["текст первой строки листа", head, "вторая строка текста", head, "третья строка", "Заметка"]))
+    assert [page.lines[page.full[k]] for k in page.candidates()] == [head, head]
+    wide = "РТН 12.345 " + "Ведомость объёмов работ " * 5
+    page = noise.Page(f"первая строка\n{wide}\nвторая строка\n58.\nтретья")
+    assert len(wide) > 100 and [page.full[k] for k in page.candidates()] == [1]
+
+
+def test_any_word_of_the_corpus_is_known_to_joins(scans):
+    # the pieces are joined to the vocabulary, so no bound of a lexicon decides
+    assert scans.joined.filter("left = 'дренаж' and right = 'ный'").count() == 1
+    assert scans.known.filter("word = 'дренажный'").count() == 1
