@@ -9,8 +9,7 @@ from tesserae.session import load
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    table, version_of, runs = incremental.ingest(load(spark, d, "file_scans"), load(spark, d, "index_runs"))
-    return incremental.replay(table, version_of, runs, incremental.held_at_first(load(spark, d, "files")))
+    return incremental.process(load(spark, d, "file_scans"), load(spark, d, "index_runs"), load(spark, d, "files"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -34,7 +34,7 @@ def backup(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> dict
 
 def restore(spark: SparkSession, path: str, name: str, into: VersionedTable) -> int:
     """A copy as a new version of a table: its rows replace the present ones in one commit."""
-    live = into._live(into.version())
+    live, _ = into._state(into.version())
     at = f"{into.path}/data/restore-{into.version() + 1}"
     spark.read.parquet(f"{path}/{name}").select(*into.schema.names).write.mode("overwrite").parquet(at)
     return into.commit(into.version(), into._files(at), removed=live, properties={"restored": path})

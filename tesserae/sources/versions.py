@@ -6,6 +6,10 @@ of the versions before is read. A commit is the creation of the next manifest by
 fails if the name is taken: a writer that dies leaves files nobody names, a second writer of the
 same version fails. ``properties`` of a commit carry what must be saved with it, such as the source
 version an output was made from.
+
+Every ``EVERY`` versions a checkpoint lists the files and vectors that are live, so no reader goes
+back further than that. ``compact`` rewrites what is live without changing it, and ``collect_garbage``
+removes the files that no version since a given one names.
 """
 
 from __future__ import annotations
@@ -21,6 +25,10 @@ from pyspark.sql.types import StructType
 from tesserae.session import read_bytes, write_bytes
 
 
+#: Versions between two checkpoints of the live files.
+EVERY = 10
+
+
 class CommitConflict(RuntimeError):
     """Another writer took the version."""
 
@@ -91,8 +99,40 @@ class VersionedTable:
     def commit(self, after: int, added: list[str] = (), removed: list[str] = (), vectors: list[str] = (), properties: dict | None = None) -> int:
         """Make version after + 1; CommitConflict if it exists."""
         body = {"version": after + 1, "added": list(added), "removed": list(removed), "vectors": list(vectors), "properties": properties or {}}
-        self._put(f"{self.path}/manifests/{after + 1:012d}.json", json.dumps(body, ensure_ascii=False).encode())
-        return after + 1
+        return self._commit(after, body)
+
+    def _commit(self, after: int, body: dict) -> int:
+        version = after + 1
+        self._put(f"{self.path}/manifests/{version:012d}.json", json.dumps(body, ensure_ascii=False).encode())
+        if version % EVERY == 0 or body.get("rewrite"):
+            live, vectors = self._state(version)
+            try:
+                self._put(f"{self.path}/checkpoints/{version:012d}.json", json.dumps({"live": live, "vectors": vectors}).encode())
+            except CommitConflict:
+                pass
+        return version
+
+    def _state(self, version: int) -> tuple[list[str], list[str]]:
+        """The live files and the vectors over them, from the last checkpoint and the manifests since."""
+        live: dict[str, None] = {}
+        vectors: list[str] = []
+        begin = 0
+        p = self._p(f"{self.path}/checkpoints")
+        fs = p.getFileSystem(self._conf)
+        if fs.exists(p):
+            begin = max((v for v in (int(x.getPath().getName()[:-5]) for x in fs.listStatus(p)) if v <= version), default=0)
+        if begin:
+            have = json.loads(read_bytes(self.spark, f"{self.path}/checkpoints/{begin:012d}.json"))
+            live, vectors = dict.fromkeys(have["live"]), have["vectors"]
+        for v in range(begin + 1, version + 1):
+            m = self.manifest(v)
+            if m.get("rewrite"):
+                live, vectors = {}, []
+            for f in m["removed"]:
+                live.pop(f, None)
+            live.update(dict.fromkeys(m["added"]))
+            vectors = vectors + m["vectors"]
+        return list(live), vectors
 
     # writes
 
@@ -114,6 +154,8 @@ class VersionedTable:
         known lists the values, so that a value without rows still is a (then empty) version. A
         value that holds much of the table is spread over several files.
         """
+        if not known:
+            return {}
         at = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.select(*self.schema.names, F.col(by).alias("_by")).hint("rebalance", "_by").write.partitionBy("_by").parquet(at)
         files: dict[str, list[str]] = {}
@@ -132,76 +174,98 @@ class VersionedTable:
         src = self.spark.read.schema(self.schema).parquet(*files)
         return src.select("*", F.regexp_extract("_metadata.file_path", "[^/]+/[^/]+/[^/]+$", 0).alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
-    def _vectors(self, versions: range) -> DataFrame | None:
-        paths = [p for v in versions for p in self.manifest(v)["vectors"]]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def _live(self, version: int) -> list[str]:
-        live: dict[str, None] = {}
-        for v in range(1, version + 1):
-            m = self.manifest(v)
-            for f in m["removed"]:
-                live.pop(f, None)
-            live.update(dict.fromkeys(m["added"]))
-        return list(live)
+    def _vectors(self, paths: list[str]) -> DataFrame | None:
+        return self.spark.read.schema("_file string, _row bigint").option("recursiveFileLookup", "true").parquet(*paths).filter("_file is not null") if paths else None
 
-    def _present(self, version: int) -> DataFrame:
-        rows, gone = self._rows(self._live(version)), self._vectors(range(1, version + 1))
+    def _present(self, version: int, only: list[str] | None = None) -> DataFrame:
+        """The live rows with their place, of all partitions (as ``append_parts`` names them) or only some."""
+        live, vectors = self._state(version)
+        if only is not None:
+            names = {f"/_by={x}/" for x in only}
+            live = [f for f in live if any(n in f for n in names)]
+        rows, gone = self._rows(live), self._vectors(vectors)
         return rows if gone is None else rows.join(gone, ["_file", "_row"], "left_anti")
 
+    def append_parts(self, rows: DataFrame, part: Column, after: int, properties: dict | None = None) -> int:
+        """One commit of rows written in partitions; where a row brings _file and _row, it supersedes that
+        row: the data files are the deletion vector too."""
+        data = self.write_parts(rows, part)
+        return self.commit(after, self._files(data), vectors=[data], properties=properties)
+
+    def write_parts(self, rows: DataFrame, part: Column) -> str:
+        data = f"{self.path}/data/{uuid.uuid4().hex}"
+        rows.select(*self.schema.names, "_file", "_row", part.alias("_by")).hint("rebalance", "_by").write.partitionBy("_by").parquet(data)
+        return data
+
+    def compact(self) -> int:
+        """A version of the same rows in new files, without deletion vectors; properties stay."""
+        after = self.version()
+        if not after:
+            return 0
+        live, _ = self._state(after)
+        data = f"{self.path}/data/{uuid.uuid4().hex}"
+        part = F.regexp_extract("_file", "_by=([^/]*)", 1)
+        self._present(after).withColumn("_by", part).hint("rebalance", "_by").select(*self.schema.names, "_by").write.partitionBy("_by").parquet(data)
+        return self._commit(after, {"version": after + 1, "added": self._files(data), "removed": live, "vectors": [], "properties": self.properties(), "rewrite": True})
+
+    def collect_garbage(self, since: int) -> list[str]:
+        """Delete the data and vector folders that no version from since on needs; older versions can't be read any more."""
+        need: set[str] = set()
+        folder = lambda f: f.split(f"{self.path.rsplit('/', 1)[-1]}/", 1)[1].split("/")[1]
+        for v in range(since, self.version() + 1):
+            live, vectors = self._state(v)
+            need.update(map(folder, (*live, *vectors)))
+        gone = []
+        for kind in ("data", "vectors"):
+            p = self._p(f"{self.path}/{kind}")
+            fs = p.getFileSystem(self._conf)
+            for x in fs.listStatus(p) if fs.exists(p) else ():
+                name = x.getPath().getName()
+                if name not in need:
+                    fs.delete(x.getPath(), True)
+                    gone.append(f"{kind}/{name}")
+        return sorted(gone)
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the newest by default."""
         return self._present(self.version() if version is None else version).select(*self.schema.names)
 
+    def added(self, after: int, upto: int) -> list[str]:
+        """The files that a reader of the changes in between has to read."""
+        return [f for v in range(after + 1, upto + 1) for f in self.manifest(v)["added"]]
+
     def changes(self, after: int, upto: int) -> DataFrame:
         """The record changes from one version to a later one: the rows with _change (insert, delete).
 
-        Rows that were both added and deleted in between are no change.
+        Rows that were both added and deleted in between are no change. A compaction in between hides
+        where rows came from and is an error.
         """
         new: dict[str, None] = {}
         dropped: list[str] = []
+        laid: list[str] = []
         for v in range(after + 1, upto + 1):
             m = self.manifest(v)
+            if m.get("rewrite"):
+                raise ValueError(f"version {v} is a compaction: read the changes up to it first")
             for f in m["removed"]:
                 if f in new:
                     del new[f]
                 else:
                     dropped.append(f)
             new.update(dict.fromkeys(m["added"]))
-        gone = self._vectors(range(after + 1, upto + 1))
+            laid += m["vectors"]
+        gone = self._vectors(laid)
         ins = self._rows(list(new))
         if gone is not None:
             ins = ins.join(gone, ["_file", "_row"], "left_anti")
         out = ins.select(*self.schema.names, F.lit("insert").alias("_change"))
-        if not after:
+        if not after or not (dropped or laid):
             return out
-        old = self._rows(self._live(after))
-        before = self._vectors(range(1, after + 1))
-        if before is not None:
-            old = old.join(before, ["_file", "_row"], "left_anti")
+        old = self._present(after)
         if dropped:
-            names = [f.split("/data/")[1] if f.count("/") > 3 else f for f in dropped]
-            lost = old.filter(F.exists(F.array(*map(F.lit, names)), lambda n: F.endswith(n, F.col("_file"))))
-            out = out.unionByName(lost.select(*self.schema.names, F.lit("delete").alias("_change")))
-            old = old.filter(~F.exists(F.array(*map(F.lit, names)), lambda n: F.endswith(n, F.col("_file"))))
+            lost = self.spark.createDataFrame([("/".join(f.split("/")[-3:]),) for f in dropped], "_file string")
+            out = out.unionByName(old.join(lost, "_file", "left_semi").select(*self.schema.names, F.lit("delete").alias("_change")))
+            old = old.join(lost, "_file", "left_anti")
         if gone is not None:
             out = out.unionByName(old.join(gone, ["_file", "_row"], "left_semi").select(*self.schema.names, F.lit("delete").alias("_change")))
         return out
-
-    def batches(self, bounds: list[int]) -> DataFrame:
-        """The inserts of several consecutive changes in one plan: after bounds[i] upto bounds[i + 1] gives _batch i.
-
-        For tables whose versions only add files (an append-only feed); the files' versions come
-        from the manifests.
-        """
-        places = []
-        for i, (after, upto) in enumerate(zip(bounds, bounds[1:])):
-            for v in range(after + 1, upto + 1):
-                m = self.manifest(v)
-                if m["removed"] or m["vectors"]:
-                    raise ValueError("batches() is for tables that only add files")
-                places += [(f, i) for f in m["added"]]
-        rows = self._rows([f for f, _ in places])
-        which = self.spark.createDataFrame([("/".join(f.split("/")[-3:]), i) for f, i in places], "_file string, _batch int")
-        # the partition folder's name is escaped the same way on both sides
-        return rows.join(which, "_file").select(*self.schema.names, "_batch")

@@ -43,31 +43,56 @@ def made(seed):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_replay_and_steps_agree_with_brute_force(spark, seed):
+def test_steps_agree_with_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(inc, "COMPACT", 3)
     scans, runs, files = made(seed)
     s, r, f = spark.createDataFrame(scans, SCANS), spark.createDataFrame(runs, RUNS), spark.createDataFrame(files, FILES)
-    table, version_of, good = inc.ingest(s, r)
-    held = inc.held_at_first(f)
     want = brute(scans, runs, files)
-    assert {tuple(x) for x in inc.replay(table, version_of, good, held).collect()} == want
-    c = inc.Consumer(spark, table, held)
-    got = set()
+    # the feed grows run by run: each time only later runs' sightings are written
+    path, state = fresh_path(spark, "feed"), fresh_path(spark, "state")
+    good = sorted(x for x, k in runs if k == "success")
+    seen: set[str] = set()
     for n, run in enumerate(good):
-        if n % 2:  # dies before its commit; nothing is kept, and the run is made again
-            before = c.state.version()
+        feed, version_of, _ = inc.ingest(s.filter(F.col("run_id") <= run), r.filter(F.col("run_id") <= run), path)
+        fresh = set(feed.added(inc.Consumer(spark, feed, inc.held_at_first(f), state).processed(), version_of[run]))
+        assert not fresh & seen
+        seen |= fresh
+        # dies at any point before its commit: nothing is kept, and a new process makes the run again
+        for crash in ("delta", "data"):
+            c = inc.Consumer(spark, feed, inc.held_at_first(f), state)
+            before, out = c.state.version(), sorted(map(tuple, c.outputs().collect()))
             with pytest.raises(RuntimeError):
-                c.step(run, version_of[run], crash=True)
-            assert c.state.version() == before
-        got |= {tuple(x) for x in c.step(run, version_of[run]).collect()}
-    assert got == want
+                c.step(run, version_of[run], crash=crash)
+            assert c.state.version() == before and sorted(map(tuple, c.outputs().collect())) == out
+        c = inc.Consumer(spark, feed, inc.held_at_first(f), state)
+        c.step(run, version_of[run])
+        now = c.state.version()
+        assert c.step(run, version_of[run]) == now  # made twice, processed once
+        assert {tuple(x) for x in c.outputs().collect()} == {x for x in want if x[0] <= run}
+    assert sorted(map(tuple, c.outputs().collect())) == sorted(want) == sorted(map(tuple, inc.process(s, r, f).collect()))
 
 
 def test_no_runs_and_no_rows(spark):
     s, r, f = spark.createDataFrame([], SCANS), spark.createDataFrame([(1, "success"), (2, "failed")], RUNS), spark.createDataFrame([], FILES)
-    table, version_of, good = inc.ingest(s, r)
-    assert inc.replay(table, version_of, good, inc.held_at_first(f)).count() == 0
-    table, version_of, good = inc.ingest(s, r.filter("run_id > 1"))
-    assert inc.replay(table, version_of, good, inc.held_at_first(f)).count() == 0
+    assert inc.process(s, r, f).count() == 0
+    assert inc.process(s, r.filter("run_id > 1"), f).count() == 0
+
+
+def test_checkpoints_compaction_and_garbage(spark):
+    schema = spark.createDataFrame([], "k int, v string").schema
+    t = VersionedTable(spark, fresh_path(spark, "t"), schema)
+    for i in range(12):
+        t.append(spark.createDataFrame([(i % 4, str(i))], schema), delete=F.col("k") == i % 4)
+    want = [(i % 4, str(i)) for i in range(8, 12)]
+    assert sorted(map(tuple, t.read().collect())) == want and t._files(f"{t.path}/checkpoints") == []
+    assert t._exists(f"{t.path}/checkpoints/000000000010.json")
+    version = t.compact()
+    assert version == 13 and sorted(map(tuple, t.read().collect())) == want and sorted(map(tuple, t.read(11).collect())) == [(0, "8"), (1, "9"), (2, "10"), (3, "7")]
+    assert t._state(13)[1] == [] and len(t._state(12)[1]) > 0
+    with pytest.raises(ValueError):
+        t.changes(12, 13)
+    gone = t.collect_garbage(13)
+    assert len(gone) > 12 and sorted(map(tuple, t.read().collect())) == want
 
 
 def test_versions(spark):
