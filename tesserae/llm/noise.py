@@ -394,6 +394,7 @@ def corrections(vocab: DataFrame) -> DataFrame:
 
 _PAGE = re.compile(r"^\W*(?:(?:стр|страница|лист|с|л|page|pg|p|seite|s|blatt)\b\.?\s*)?(?P<n>\d{1,4})\s*(?:(?:из|of|von|/)\s*\d{1,4})?\W*$", re.I)
 _BARE = re.compile(r"^\d{1,4}$")
+_DIGIT, _DIGITS, _BLANKS, _SIGNS = re.compile(r"\d"), re.compile(r"\d+"), re.compile(r" {2,}"), re.compile(r"[\W\d]")
 _ENDING = re.compile(r"\d{1,4}[.;:,!?]+")
 _LIST = re.compile(r"^\d{1,3}[.)]")
 _TAIL = re.compile(r"^(?P<title>.*\S)(?: {2,}|\t+| *\| *)(?P<n>\d{1,4})$|^(?P<m>\d{1,4})(?: {2,}|\t+)(?P<rest>\S.*)$")
@@ -411,14 +412,14 @@ class Page:
         sizes = sorted(len(self.lines[i]) for i in self.full)
         self.width = sizes[int(0.8 * (len(sizes) - 1))] if sizes else 0
         self.short = sum(x < 30 for x in sizes) / max(1, len(sizes))
-        self.times = Counter(map(self.shape, (self.lines[i] for i in self.full))) if len(self.full) > 1 else Counter()
+        self.times = Counter(x.lower() for x in self.lines) if len(self.full) > 1 else Counter()
 
     def candidates(self) -> list[int]:
         """Places in full of the lines that hold a number or recur, and don't end a sentence."""
         out = []
         for k, i in enumerate(self.full):
             x = self.lines[i]
-            if (any(map(str.isdigit, x)) or (self.times[self.shape(x)] > 1 and any(map(str.isalpha, x)))) and (x[-1] not in ".;:,!?" or (_PAGE.match(x) and not _ENDING.fullmatch(x))) and x.count("|") < 2 and not _CODE.fullmatch(x):
+            if (_DIGIT.search(x) or (self.times[x.lower()] > 1 and any(map(str.isalpha, x)))) and (x[-1] not in ".;:,!?" or (_PAGE.match(x) and not _ENDING.fullmatch(x))) and x.count("|") < 2 and not _CODE.fullmatch(x):
                 out.append(k)
         return out
 
@@ -432,7 +433,7 @@ class Page:
 
     @staticmethod
     def shape(x: str) -> str:
-        return re.sub(r"\d+", "9", re.sub(r" {2,}", "  ", x.lower()))
+        return _DIGITS.sub("9", _BLANKS.sub("  ", x.lower()) if "  " in x else x.lower())
 
     @staticmethod
     def code(x: str) -> str | None:
@@ -440,7 +441,7 @@ class Page:
         m = _TAIL.match(x)
         title = (m["title"] or m["rest"]) if m else x
         found = _NUM.findall(title)
-        return max(found, key=len) if found and len(re.sub(r"[\W\d]", "", title)) >= 3 else None
+        return max(found, key=len) if found and len(_SIGNS.sub("", title)) >= 3 else None
 
     def features(self, places: list[int]) -> np.ndarray:
         x = np.zeros((len(places), FURNITURE))
@@ -448,33 +449,39 @@ class Page:
             return x
         text = {k: self.lines[self.full[k]] for k in places}
         number = {k: self.number(t) for k, t in text.items()}
+        page_like = {k: bool(_PAGE.match(t)) for k, t in text.items()}
+        bare = {k: page_like[k] and bool(_BARE.match(t)) for k, t in text.items()}
+        listed = {k: page_like[k] and bool(_LIST.match(t)) for k, t in text.items()}
+        code_of = {k: self.code(t) for k, t in text.items()}
+        shape = {k: self.shape(t) for k, t in text.items()}
+        times = Counter(shape.values())
         kinds: dict[str, list[tuple[int, int]]] = {}
         for k in places:
             if number[k] is not None:
-                key = "n" if _PAGE.match(text[k]) and _BARE.match(text[k]) else self.shape(text[k]) if _PAGE.match(text[k]) else "tail"
+                key = "n" if bare[k] else shape[k] if page_like[k] else "tail"
                 kinds.setdefault(key, []).append((k, number[k]))
         follows = set()
         for group in kinds.values():
             for (k, a), (j, b) in zip(group, group[1:]):
                 if b - a == 1:
                     follows.update((k, j))
-        codes = Counter(c for k in places if (c := self.code(text[k])))
-        clear = {k for k in places if number[k] is not None and ((_PAGE.match(text[k]) and not _BARE.match(text[k]) and not _LIST.match(text[k])) or k in follows)}
+        codes = Counter(c for c in code_of.values() if c)
+        clear = {k for k in places if number[k] is not None and ((page_like[k] and not bare[k] and not listed[k]) or k in follows)}
         for row, k in enumerate(places):
             t, i = text[k], self.full[k]
             before = self.lines[self.full[k - 1]] if k else ""
             after = self.lines[self.full[k + 1]] if k + 1 < len(self.full) else ""
-            code = self.code(t)
+            code = code_of[k]
             near = [j for j in (k - 1, k + 1) if j in clear]
             b2 = self.lines[self.full[k - 2]] if near and k - 1 in clear and k > 1 else before
             a2 = self.lines[self.full[k + 2]] if k + 1 in clear and k + 2 < len(self.full) else after
-            page = bool(_PAGE.match(t))
+            page = page_like[k]
             x[row] = (
-                page and not _BARE.match(t) and not _LIST.match(t), bool(_BARE.match(t)), k in follows, number[k] is not None and not page,
+                page and not bare[k] and not listed[k], bare[k], k in follows, number[k] is not None and not page,
                 codes[code] if code else 0, len(near), bool(b2) and b2[-1] not in ".!?:;", bool(a2) and (a2[0].islower()),
                 bool(b2) and b2[-1] in HYPHENS, i > 0 and not self.lines[i - 1], i + 1 < len(self.lines) and not self.lines[i + 1],
                 code is not None and len(code) >= 5, len(t) / max(1, self.width), len(before) / max(1, self.width), t[0].isupper(),
-                sum(map(str.isupper, t)) / max(1, sum(map(str.isalpha, t))), any(map(str.isdigit, before)) and len(before) < 25, k == 0 or k + 1 == len(self.full), min(5, self.times[self.shape(t)]), min(200, max(60, len(t))), self.short,
+                sum(map(str.isupper, t)) / max(1, sum(map(str.isalpha, t))), len(before) < 25 and any(map(str.isdigit, before)), k == 0 or k + 1 == len(self.full), min(5, times[shape[k]]), min(200, max(60, len(t))), self.short,
             )
         return x
 
