@@ -20,13 +20,14 @@ CONTEXT = 6000
 def dense_topk(chunks: DataFrame, query: list[float], k: int, metric: str = "cosine", scope: Column | None = None) -> DataFrame:
     """The k chunks closest to a query with score = max(0, 1 - distance); scope is applied before the scoring.
 
-    Chunks without a comparable vector are no candidates. Needs chunk_id and vector.
+    Chunks without a comparable vector are no candidates. Needs chunk_id and vector. Repeated rows of a
+    chunk are one: they are dropped behind the scoring, when only slim rows are left to shuffle.
     """
     rows = chunks if scope is None else chunks.filter(scope)
     s = score(F.col("vector"), query, metric)
     got = rows.withColumn("_s", s).filter("_s is not null")
     distance = F.col("_s") if metric == "l2" else 1 - F.col("_s")
-    return got.withColumn("distance", distance).withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance"))).drop("_s", "vector").orderBy(F.asc("distance"), "chunk_id").limit(k)
+    return got.withColumn("distance", distance).withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("distance"))).drop("_s", "vector").dropDuplicates(["chunk_id"]).orderBy(F.asc("distance"), "chunk_id").limit(k)
 
 
 def first_rows(rows: DataFrame, q: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -68,7 +69,7 @@ def exact_channel(chunks: DataFrame, codes: list[str], query: list[float] | None
     rows = chunks.filter(any_of).withColumn("exact_hits", hits).filter("exact_hits > 0")
     sim = score(F.col("vector"), query) if query else F.lit(None).cast("double")
     rows = rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(sim, F.lit(0.0))))).drop("vector")
-    rows = rows.orderBy(F.desc("exact_hits"), F.desc("score"), "chunk_id")
+    rows = rows.dropDuplicates(["chunk_id"]).orderBy(F.desc("exact_hits"), F.desc("score"), "chunk_id")
     return rows if k is None else rows.limit(k)
 
 

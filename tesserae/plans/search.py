@@ -30,11 +30,13 @@ class Answer:
 
 @dataclass
 class Corpus:
-    """What is searched: chunks (with vectors) and parents. manifest says what the vectors were made with."""
+    """What is searched: chunks (with vectors) and parents. manifest says what the vectors were made with;
+    with written postings a question reads its own terms only."""
 
     chunks: DataFrame
     parents: DataFrame
     manifest: dict = field(default_factory=dict)
+    lexical: lexical.LexicalIndex | None = None
 
 
 def scope_of(folder: str | None, dataset: str | None) -> Column:
@@ -52,7 +54,12 @@ def _one(corpus: Corpus, q: str, plan: routing.Plan, provider: Provider, scope:
     base = corpus.chunks.filter(scope)
     pool = plan.pool
     dense = retrieval.dense_topk(base.select("chunk_id", "vector"), provider.query(q), pool)
-    bm = lexical.bm25_stemmed(base, "chunk_id", "text", " ".join(quality.query_words(q)) or q)
+    said = " ".join(quality.query_words(q)) or q
+    if corpus.lexical is None:
+        bm = lexical.bm25_stemmed(base, "chunk_id", "text", said)
+    else:
+        # the postings of the question's terms only, of chunks in scope
+        bm = corpus.lexical.search(said).join(base.select("chunk_id"), "chunk_id", "left_semi")
     bm = bm.orderBy(F.desc("bm25"), "chunk_id").limit(pool)
     both = dense.select("chunk_id", "score").join(bm, "chunk_id", "full_outer").withColumn("q", F.lit(1))
     fused = retrieval.combine(both.withColumnRenamed("score", "_d"), "q", F.col("_d"), F.col("bm25"), plan.alpha)
@@ -80,12 +87,20 @@ def _attempt(corpus: Corpus, question: str, plan: routing.Plan, provider: Provid
     cols = ["chunk_id", "doc_id", "text", "source_path", "file_name", "parent_id", "modified_at"]
     pool = corpus.chunks.select(*cols).join(fused, "chunk_id")
     pool = retrieval.hydrate(pool, corpus.parents)
-    normative = F.lit(plan.route.dataset == "normative")
-    q = quality.quality(pool, question, list(plan.codes), F.col("text"), F.concat_ws(" ", "file_name", "source_path"), F.col("score"), normative)
+    q = quality.quality(pool, question, list(plan.codes), F.col("text"), F.concat_ws(" ", "file_name", "source_path"), F.col("score"), F.lit(plan.route.dataset), F.col("file_name"))
     q = q.drop("rank")
     ranked = retrieval.first_rows(q, "q", [F.desc("exact_hits"), F.desc("score"), F.desc("lexical_bonus"), F.desc("path_bonus"), F.asc("position"), F.asc("chunk_id")], plan.pool)
-    diverse = retrieval.diversify(ranked.drop("position"), "q", "doc_id", 4 * top_k).drop("rank").withColumnRenamed("position", "rank")
-    apply = rerank if rerank is not None else len(plan.queries) > 1
+    # a pool is a few dozen rows: chosen in order, as a prefix counts only where its row is taken
+    chosen = retrieval.diversify_exact(ranked.drop("position"), "q", "doc_id", 4 * top_k)
+    diverse = retrieval.first_rows(chosen.withColumnRenamed("rank", "_rank"), "q", [F.asc("_rank")], 4 * top_k).drop("_rank")
+    if rerank is not None:
+        apply, why = rerank, "asked"
+    elif len(plan.queries) > 1:
+        apply, why = True, "several_queries"
+    else:
+        # one row, of the pool's best scores
+        verdict = retrieval.rerank_decision(diverse.select("q", "rank", "score"), "q", top_k).first()
+        apply, why = (bool(verdict["apply"]), verdict["reason"]) if verdict else (False, "empty")
     final = diverse
     if apply:
         logits = retrieval.rerank(diverse.withColumn("query_text", F.lit(question)), scorer).select("q", "rank", "logit")
@@ -93,7 +108,7 @@ def _attempt(corpus: Corpus, question: str, plan: routing.Plan, provider: Provid
         final = final.filter(F.col("rank") <= top_k)
     head = retrieval.focus(final, "q", "doc_id").filter(F.col("rank") <= 4 * top_k)
     rows = retrieval.fill(head, final, "q", "chunk_id", top_k)
-    trace = {"route": plan.route.name, "queries": list(plan.queries), "channels": list(plan.channels), "fusion": "rrf", "score_kind": "quality", "rerank": bool(apply), "degraded": False}
+    trace = {"route": plan.route.name, "queries": list(plan.queries), "channels": list(plan.channels), "fusion": "rrf", "score_kind": "quality", "rerank": bool(apply), "rerank_reason": why, "degraded": False}
     return rows.select("chunk_id", "doc_id", "text", "child_text", "source_path", "file_name", "context_source", "score", "position"), trace
 
 

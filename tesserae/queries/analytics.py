@@ -14,7 +14,7 @@ SUBJECT = ["клапан"]
 
 
 def _rows(spark, d):
-    return tables.typed(tables.text_tables(load(spark, d, "documents"), "doc_id", "text"))
+    return tables.text_tables(load(spark, d, "documents"), "doc_id", "text")
 
 
 def table_rows(spark, d):
@@ -220,11 +220,14 @@ def _field(h: str) -> str:
 
 
 _clean = r"trim(regexp_replace(c, '[\s\x{A0}]+', ' ', 'g'))"
-_TT = rf"""lines AS (SELECT doc_id, unnest(list_zip(range(1, len(l) + 1), l)) AS x FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents WHERE contains(text, '|'))),
-cells AS (SELECT doc_id, x[1]::BIGINT AS line_no, list_transform(string_split(x[2], '|'), lambda c: {_clean}) AS c FROM lines),
-wide AS (SELECT *, first_value(c) OVER w AS headers, row_number() OVER w AS k FROM cells WHERE len(c) >= 3 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-tt AS (SELECT doc_id, line_no, headers, c AS cells FROM wide WHERE k > 1 AND len(c) = len(headers))"""
 _h = r"trim(regexp_replace(lower(h), '\s+', ' ', 'g'))"
+# tables as islands: a table's number is how many lines up to it begin one
+_TT = rf"""lines AS (SELECT doc_id, unnest(list_zip(range(1, len(l) + 1), l)) AS x FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents WHERE contains(text, '|'))),
+cells AS (SELECT doc_id, x[1]::BIGINT AS line_no, list_transform(string_split(x[2], '|'), lambda c: {_clean}) AS c FROM lines WHERE len(x[2]) - len(replace(x[2], '|', '')) >= 2),
+named AS (SELECT *, len(list_filter(list_distinct(list_transform(c, lambda h: HEADER_FIELD)), lambda f: f <> 'skip')) AS known, NOT regexp_matches(array_to_string(c, '|'), '\p{{Nd}}') AS wordy FROM cells),
+begins AS (SELECT *, coalesce(line_no - lag(line_no) OVER w <> 1 OR len(c) <> lag(len(c)) OVER w, true) OR (wordy AND known >= 2) AS b FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+numbered AS (SELECT *, sum(b::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS t FROM begins),
+tt AS (SELECT n.doc_id, n.line_no, h.c AS headers, n.c AS cells FROM numbered n JOIN numbered h ON n.doc_id = h.doc_id AND n.t = h.t AND h.b WHERE NOT n.b)""".replace("HEADER_FIELD", _field(r"trim(regexp_replace(lower(h), '\s+', ' ', 'g'))"))
 _TYPED = rf"""{_TT}, f AS (SELECT *, list_transform(headers, lambda h: {_field(_h)}) AS f FROM tt),
 rows AS (SELECT doc_id, line_no, headers, cells,
   list_filter(list_transform(range(1, len(f) + 1), lambda i: CASE WHEN f[i] = 'pos' THEN cells[i] END), lambda v: len(v) > 0)[1] AS pos,

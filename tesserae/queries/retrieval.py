@@ -17,7 +17,25 @@ WORDS = ["клапан", "резервом", "расход", "чиллер"]
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """The chunk table, each chunk once."""
-    return load(spark, d, "documents_64").filter("chunk_id is not null").dropDuplicates(["chunk_id"])
+    return raw_chunks(spark, d).dropDuplicates(["chunk_id"])
+
+
+def raw_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table as it is; a filter or score goes before the repeated rows are dropped."""
+    return load(spark, d, "documents_64").filter("chunk_id is not null")
+
+
+_written: dict[tuple, lexical.LexicalIndex] = {}
+
+
+def lexical_index(spark: SparkSession, d: str, table: str, key: str, text: str, stemmed: bool = True) -> lexical.LexicalIndex:
+    """The written postings of a table, built once for an application, as indexing would."""
+    at = (spark.sparkContext.applicationId, d, table, stemmed)
+    if at not in _written:
+        docs = load(spark, d, table).filter(F.col(key).isNotNull())
+        docs = docs.dropDuplicates([key]) if table == "parent_chunks" else docs
+        _written[at] = lexical.LexicalIndex.build(docs.select(key, text), key, text, stemmed=stemmed)
+    return _written[at]
 
 
 def first_vector(spark: SparkSession, d: str) -> list[float]:
@@ -27,42 +45,42 @@ def first_vector(spark: SparkSession, d: str) -> list[float]:
 
 
 def dense_topk(spark, d):
-    return retrieval.dense_topk(chunks(spark, d).select("chunk_id", "vector", "source_path"), first_vector(spark, d), 20).select("chunk_id", "source_path", F.round("score", 6).alias("score"))
+    return retrieval.dense_topk(raw_chunks(spark, d).select("chunk_id", "vector", "source_path"), first_vector(spark, d), 20).select("chunk_id", "source_path", F.round("score", 6).alias("score"))
 
 
 def dense_l2_topk(spark, d):
-    return retrieval.dense_topk(chunks(spark, d).select("chunk_id", "vector"), first_vector(spark, d), 20, "l2").select("chunk_id", F.round("distance", 6).alias("distance"))
+    return retrieval.dense_topk(raw_chunks(spark, d).select("chunk_id", "vector"), first_vector(spark, d), 20, "l2").select("chunk_id", F.round("distance", 6).alias("distance"))
 
 
 def dense_scoped_prefilter(spark, d):
     scope = (F.col("namespace") == "project") & F.col("source_path").contains("ОВ1")
-    return retrieval.dense_topk(chunks(spark, d).select("chunk_id", "vector", "source_path", "namespace"), first_vector(spark, d), 20, scope=scope).select("chunk_id", F.round("score", 6).alias("score"))
+    return retrieval.dense_topk(raw_chunks(spark, d).select("chunk_id", "vector", "source_path", "namespace"), first_vector(spark, d), 20, scope=scope).select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def cosine_l2_scores(spark, d):
     q = first_vector(spark, d)
-    c = chunks(spark, d).select("chunk_id", "vector")
-    return c.select("chunk_id", F.round(score(F.col("vector"), q), 5).alias("cosine"), F.round(score(F.col("vector"), q, "l2"), 5).alias("l2")).filter("l2 is not null and cosine is not null")
+    c = raw_chunks(spark, d).select("chunk_id", F.round(score(F.col("vector"), q), 5).alias("cosine"), F.round(score(F.col("vector"), q, "l2"), 5).alias("l2"))
+    return c.filter("l2 is not null and cosine is not null").dropDuplicates(["chunk_id"])
 
 
-def bm25_search(spark, d):
-    r = lexical.bm25(load(spark, d, "documents"), "doc_id", "text", WORDS)
+def _ranked_texts(r: DataFrame) -> DataFrame:
     return r.select("doc_id", F.round("bm25", 4).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(50)
 
 
-def bm25_sparse_terms(spark, d):
-    p = load(spark, d, "parent_chunks").filter("parent_id is not null").dropDuplicates(["parent_id"])
-    return lexical.postings(p, "parent_id", "parent_text")
+def bm25_search(spark, d):
+    return _ranked_texts(lexical_index(spark, d, "documents", "doc_id", "text").search(" ".join(WORDS)))
 
 
-def bm25_stemmed(spark, d):
-    r = lexical.bm25_stemmed(load(spark, d, "documents"), "doc_id", "text", " ".join(WORDS))
-    return r.select("doc_id", F.round("bm25", 4).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(50)
+def bm25_plain(spark, d):
+    return _ranked_texts(lexical_index(spark, d, "documents", "doc_id", "text", stemmed=False).search(" ".join(WORDS)))
 
 
-def stemmed_sparse_terms(spark, d):
-    p = load(spark, d, "parent_chunks").filter("parent_id is not null").dropDuplicates(["parent_id"])
-    return lexical.sparse_terms(p, "parent_id", "parent_text")
+def bm25_unindexed(spark, d):
+    return _ranked_texts(lexical.bm25_stemmed(load(spark, d, "documents"), "doc_id", "text", " ".join(WORDS)))
+
+
+def bm25_sparse_terms(spark, d):
+    return lexical_index(spark, d, "parent_chunks", "parent_id", "parent_text").vectors()
 
 
 def _best_hits(spark, d):
@@ -88,7 +106,7 @@ def rrf_fusion(spark, d):
 
 
 def exact_channel(spark, d):
-    return retrieval.exact_channel(chunks(spark, d).select("chunk_id", "text", "vector"), [CODE[:4], "НТД"], first_vector(spark, d)).select("chunk_id", F.col("exact_hits").cast("long").alias("exact_hits"), F.round("score", 6).alias("score"))
+    return retrieval.exact_channel(raw_chunks(spark, d).select("chunk_id", "text", "vector"), [CODE[:4], "НТД"], first_vector(spark, d)).select("chunk_id", F.col("exact_hits").cast("long").alias("exact_hits"), F.round("score", 6).alias("score"))
 
 
 def find_occurrences(spark, d):
@@ -140,11 +158,13 @@ def title_penalty(spark, d):
 
 
 def table_noise(spark, d):
-    return _texts(spark, d).select("doc_id", F.round(quality.top_share(T.tokens(F.col("text"))), 6).alias("top_share"), F.size(T.tokens(F.col("text"))).cast("long").alias("tokens"))
+    r = _texts(spark, d).select("doc_id", quality.word_shares(F.col("text")).alias("w"))
+    return r.select("doc_id", F.round("w.top_share", 6).alias("top_share"), "w.tokens")
 
 
 def quality_score(spark, d):
-    r = quality.quality(_texts(spark, d), QUERY, ["НТД"], F.col("text"), F.col("file_name"), F.lit(0.5), F.col("source") == "normative_base")
+    dataset = F.when(F.col("source") == "normative_base", "normative").otherwise("project")
+    r = quality.quality(_texts(spark, d), QUERY, ["НТД"], F.col("text"), F.col("file_name"), F.lit(0.5), dataset)
     return r.select("doc_id", "base_score", "lexical_bonus", "substantive_bonus", "path_bonus", F.col("exact_hits").cast("long").alias("exact_hits"), "exact_bonus", "score", "table_penalty")
 
 
@@ -220,8 +240,9 @@ def cache_evict(spark, d):
 
 
 def maxsim_late_interaction(spark, d):
-    c = chunks(spark, d).filter("vector is not null").select("doc_id", "chunk_id", "vector")
-    few = c.orderBy("chunk_id").limit(4).select(F.col("chunk_id").alias("i"), F.col("vector").alias("qv"))
+    # the best of a document's vectors is the same with a chunk twice
+    c = raw_chunks(spark, d).filter("vector is not null").select("doc_id", "chunk_id", "vector")
+    few = c.dropDuplicates(["chunk_id"]).orderBy("chunk_id").limit(4).select(F.col("chunk_id").alias("i"), F.col("vector").alias("qv"))
     return retrieval.maxsim(c, few, "doc_id").select("doc_id", F.round("maxsim", 5).alias("maxsim"))
 
 
@@ -235,7 +256,7 @@ def merge_traces(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, dense_l2_topk, dense_scoped_prefilter, cosine_l2_scores, bm25_search, bm25_sparse_terms, bm25_stemmed, stemmed_sparse_terms, linear_fusion, rrf_fusion, exact_channel, find_occurrences, occurrences_by_document,
+        dense_topk, dense_l2_topk, dense_scoped_prefilter, cosine_l2_scores, bm25_search, bm25_plain, bm25_unindexed, bm25_sparse_terms, linear_fusion, rrf_fusion, exact_channel, find_occurrences, occurrences_by_document,
         occurrences_page, identifier_tokens, norm_designations, parent_hydration, dedup_by_parent, title_penalty, table_noise, quality_score, lexical_boost, diversify_per_doc, diversify_exact,
         newest_revision, source_focus, fill_to_top_k, rerank_apply, crag_grade, rerank_decision, semantic_cache_lookup, cache_evict, maxsim_late_interaction, merge_traces,
     )
@@ -281,22 +302,21 @@ SQL = {
     "dense_l2_topk": f"SELECT chunk_id, round(x, 6) AS distance FROM (SELECT *, list_distance(vector::DOUBLE[], {Q}) AS x FROM {CH} WHERE vector IS NOT NULL) ORDER BY x, chunk_id LIMIT 20",
     "dense_scoped_prefilter": f"SELECT chunk_id, round(greatest(0, c), 6) AS score FROM (SELECT *, list_cosine_similarity(vector::DOUBLE[], {Q}) AS c FROM {CH} WHERE {LIVE} AND namespace = 'project' AND contains(source_path, 'ОВ1')) ORDER BY 1 - c, chunk_id LIMIT 20",
     "cosine_l2_scores": f"SELECT chunk_id, round(list_cosine_similarity(vector::DOUBLE[], {Q}), 5) AS cosine, round(list_distance(vector::DOUBLE[], {Q}), 5) AS l2 FROM {CH} WHERE {LIVE}",
-    "bm25_search": f"""
+    "bm25_plain": f"""
 WITH d AS (SELECT doc_id, t, len(t) AS n FROM (SELECT doc_id, {TOK} AS t FROM documents) WHERE len(t) > 0),
 s AS (SELECT count(*)::DOUBLE AS n, avg(n) AS a FROM d),
 tf AS (SELECT doc_id, n, w, len(list_filter(t, lambda x: x = w)) AS f FROM d, (SELECT unnest({WORDS}) AS w)),
 df AS (SELECT w, count(*)::DOUBLE AS df FROM tf WHERE f > 0 GROUP BY w)
 SELECT doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tf.n / s.a))), 4) AS bm25
 FROM tf JOIN df USING (w), s WHERE f > 0 GROUP BY doc_id ORDER BY bm25 DESC, doc_id LIMIT 50""",
-    "bm25_sparse_terms": f"WITH d AS (SELECT parent_id, {TOK.replace('text', 'parent_text')} AS t FROM parent_chunks WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_id) = 1) SELECT parent_id, term, length, count(*) AS tf FROM (SELECT parent_id, len(t)::BIGINT AS length, unnest(t) AS term FROM d) GROUP BY ALL",
-    "bm25_stemmed": f"""
+    "bm25_search": f"""
 WITH d AS (SELECT doc_id, t, len(t) AS n FROM (SELECT doc_id, {LTOK} AS t FROM documents) WHERE len(t) > 0),
 s AS (SELECT count(*)::DOUBLE AS n, avg(n) AS a FROM d), q AS (SELECT DISTINCT {_stemmed('w')} AS w FROM (SELECT unnest({WORDS}) AS w)),
 tf AS (SELECT doc_id, n, w, len(list_filter(t, lambda x: x = w)) AS f FROM d, q),
 df AS (SELECT w, count(*)::DOUBLE AS df FROM tf WHERE f > 0 GROUP BY w)
 SELECT doc_id, round(sum(ln(1 + (s.n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tf.n / s.a))), 4) AS bm25
 FROM tf JOIN df USING (w), s WHERE f > 0 GROUP BY doc_id ORDER BY bm25 DESC, doc_id LIMIT 50""",
-    "stemmed_sparse_terms": f"WITH d AS (SELECT parent_id, {LTOK.replace('text', 'parent_text')} AS t FROM parent_chunks WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_id) = 1) SELECT parent_id, term, count(*) AS tf FROM (SELECT parent_id, unnest(t) AS term FROM d) GROUP BY ALL",
+    "bm25_sparse_terms": f"WITH d AS (SELECT parent_id, {LTOK.replace('text', 'parent_text')} AS t FROM parent_chunks WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent_id) = 1) SELECT parent_id, term, count(*) AS tf FROM (SELECT parent_id, unnest(t) AS term FROM d) GROUP BY ALL",
     "linear_fusion": f"""WITH {BEST}, w AS (SELECT *, min(_relevance_score) OVER (PARTITION BY query_id) AS lo, max(_relevance_score) OVER (PARTITION BY query_id) AS hi FROM best)
 SELECT query_id, chunk_id, round(0.7 * coalesce(CASE WHEN _distance IS NOT NULL THEN greatest(0.0, 1 - _distance) END, 0) + (1 - 0.7) * coalesce(CASE WHEN hi > lo THEN (_relevance_score - lo) / (hi - lo) WHEN _relevance_score IS NOT NULL THEN 1.0 END, 0), 6) AS score FROM w""",
     "rrf_fusion": f"""WITH {BEST}, l AS (
@@ -347,8 +367,11 @@ a AS (SELECT query_id, bool_or(g) AS degraded, count(*) AS candidates FROM t GRO
 SELECT query_id, channels, degraded, candidates FROM a JOIN n USING (query_id)""",
 }
 
+SQL["bm25_unindexed"] = SQL["bm25_search"]
 _x = "lower(coalesce(text, ''))"
 _ntok = "greatest(len(t), 1)"
+# the values as such, so that a marker missing from the operator shows
+_stamps = "copyright by|формат:|подп. дата|подп. и дата|инв.|инв.№|лист листов|стадия|кол.уч|№док|заказчик:|разраб.|проверил|н.контр".split("|")
 SQL["quality_score"] = rf"""
 WITH t AS (SELECT doc_id, source, file_name, {_x} AS x, coalesce(text, '') AS text, {TOK.replace('(text)', '(coalesce(text, chr(32)))')} AS t FROM documents),
 l AS (SELECT *, list_filter(string_split_regex(x, '\r\n|\n|\r'), lambda y: len(trim(y, ' ')) > 0) AS ls, len(x) - len(replace(x, '|', '')) AS pipes,
@@ -363,10 +386,12 @@ p AS (SELECT *, CASE WHEN len(trim(x, ' ')) = 0 THEN 0.35::DOUBLE ELSE round(lea
   + CASE WHEN len(list_filter(t, lambda w: regexp_matches(w, '[0-9]') AND len(w) >= 5)) >= 8 THEN 0.16::DOUBLE ELSE 0 END
   + CASE WHEN len(regexp_extract_all(x, '(?:^|[^0-9a-zа-яё_])[0-9]{{2,5}} *[xх] *[0-9]{{2,5}}(?:$|[^0-9a-zа-яё_])')) >= 2 THEN 0.12::DOUBLE ELSE 0 END
   + CASE WHEN len(regexp_extract_all(x, '[-+][0-9]{{1,3}}[,.][0-9]{{2,3}}(?:$|[^0-9a-zа-яё_])')) >= 3 THEN 0.12::DOUBLE ELSE 0 END
-  + CASE WHEN {_sum_contains('x', quality.STAMP_MARKERS)} >= 3 THEN least(0.34::DOUBLE, 0.08::DOUBLE * {_sum_contains('x', quality.STAMP_MARKERS)}) ELSE 0 END), 4) END AS table_penalty,
+  + CASE WHEN {_sum_contains('x', _stamps)} >= 3 THEN least(0.34::DOUBLE, 0.08::DOUBLE * {_sum_contains('x', _stamps)}) ELSE 0 END
+  + CASE WHEN regexp_matches(x, '(?:^|[^0-9a-zа-яё_])а(?:\s+а){{8,}}(?:$|[^0-9a-zа-яё_])') THEN 0.22::DOUBLE ELSE 0 END), 4) END AS table_penalty,
   round(least(0.38::DOUBLE, least(0.22::DOUBLE, {_sum_contains('x', _words)} * 0.045::DOUBLE) + least(0.20::DOUBLE, {_sum_contains("lower(coalesce(file_name, ''))", _words)} * 0.055::DOUBLE) + CASE WHEN contains(x, '{QUERY}') THEN 0.10::DOUBLE ELSE 0 END), 4) AS lexical_bonus,
   round(least(0.25::DOUBLE, least(0.20::DOUBLE, {_sum_contains('x', quality.SUBSTANTIVE_MARKERS)} * 0.035::DOUBLE) + CASE WHEN coalesce(source = 'normative_base', false) AND regexp_matches(x, '(?:^|\s)(?:п\.|пункт|таблица)\s*[0-9]+') THEN 0.05::DOUBLE ELSE 0 END), 4) AS substantive_bonus,
-  round(least(0.12::DOUBLE, {_sum_contains("lower(coalesce(file_name, ''))", _words)} * 0.03::DOUBLE), 4) AS path_bonus,
+  round(greatest(-0.35::DOUBLE, least(0.35::DOUBLE, least(0.12::DOUBLE, {_sum_contains("lower(coalesce(file_name, ''))", _words)} * 0.03::DOUBLE) + CASE WHEN coalesce(source, '') = 'normative_base' THEN 0.0::DOUBLE ELSE
+    CASE WHEN regexp_matches(lower(coalesce(file_name, '')), 'ов|пв|вентиляц|дымоудален|противодым|подпор') THEN 0.24::DOUBLE ELSE -0.18::DOUBLE END - CASE WHEN contains(lower(coalesce(file_name, '')), 'эом') THEN 0.16::DOUBLE ELSE 0 END END)), 4) AS path_bonus,
   {whole("(text || ' ' || coalesce(file_name, ''))", 'НТД')}::BIGINT AS exact_hits,
   round(CASE WHEN {_sum_contains('substr(x, 1, 1800)', quality.TITLE_MARKERS)} = 0 THEN 0.0::DOUBLE WHEN contains(x, 'область применения') THEN least(0.48::DOUBLE, 0.12::DOUBLE * {_sum_contains('substr(x, 1, 1800)', quality.TITLE_MARKERS)}) * 0.65::DOUBLE ELSE least(0.48::DOUBLE, 0.12::DOUBLE * {_sum_contains('substr(x, 1, 1800)', quality.TITLE_MARKERS)}) END, 4) AS title_penalty FROM l)
 SELECT doc_id, 0.5::DOUBLE AS base_score, lexical_bonus, substantive_bonus, path_bonus, exact_hits, 0.25::DOUBLE * exact_hits AS exact_bonus, table_penalty,

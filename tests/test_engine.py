@@ -25,11 +25,11 @@ def test_tools(spark):
     from conftest import DATA
 
     from tesserae.operators.embed import embed
-    from tesserae.operators.tables import text_tables, typed
+    from tesserae.operators.tables import text_tables
 
     chunks = embed(load(spark, DATA, "documents_64").dropDuplicates(["chunk_id"]).drop("vector"), Hashing(32)).cache()
     e = Engine(chunks, load(spark, DATA, "parent_chunks"), load(spark, DATA, "files"), load(spark, DATA, "doc_edges"), manifest={"model": "hashing", "dimension": 32}, provider=Hashing(32),
-               table_rows=typed(text_tables(load(spark, DATA, "documents"), "doc_id", "text")), jobs=load(spark, DATA, "index_runs"))
+               table_rows=text_tables(load(spark, DATA, "documents"), "doc_id", "text"), jobs=load(spark, DATA, "index_runs"))
     a = e.search_documents("предел огнестойкости воздуховода", 4)
     assert a.blocked is None and 0 < a.rows.count() <= 4 and a.trace["fusion"] == "rrf"
     e.manifest = {"model": "other", "dimension": 32}

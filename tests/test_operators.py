@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import chunking, corpus, evaluate, extract, graph, lexical, quality, retrieval, tables
+from tesserae.functions.text import unit as T_unit
 from tesserae.plans import routing
 
 
@@ -87,7 +88,7 @@ def test_spans():
 
 
 def typed(spark, rows):
-    return spark.createDataFrame(rows, "unit string, qty double, amount double").withColumn("unit_key", tables.unit(F.col("unit")))
+    return spark.createDataFrame(rows, "unit string, qty double, amount double").withColumn("unit_key", T_unit(F.col("unit")))
 
 
 def test_totals(spark):
@@ -197,3 +198,33 @@ def test_all_quotes_are_located(spark):
     got = [tuple(r) for r in extract.locate_all(spark.createDataFrame(pages, "page string, text string"), quotes, "page", "text", "id").collect()]
     # a probe may begin and end within a page's words, as contains has it
     assert sorted(got) == sorted([(i, f"p{i:02d}", 12, 1) for i in range(60)] + [(7, "same", 12, 2), (92, "odd", 5, 1), (92, "whole", 5, 2)])
+
+
+def test_several_tables_in_one_text(spark):
+    from tesserae.operators.tables import text_tables
+
+    text = "\n".join((
+        "Поз. | Наименование | Кол-во", "1 | насос | 2", "2 | клапан | 3",
+        "Наименование | Поз. | Кол-во", "вентиль | 7 | 4",
+        "Поз. | Наименование | Ед. изм. | Кол-во", "1 | труба | м | 12,5",
+        "текст без таблицы", "Марка | Тип | Прим.", "А | Б | В",
+        "Поз. | Наименование | Кол-во", "9 | люк | 1", "одна | черта",
+    ))
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a | b"), (5, "x | y | z")], "k int, text string")
+    rows = text_tables(df, "k", "text").orderBy("line_no").collect()
+    assert [(r["table_no"], r["line_no"], r["pos"], r["name"], r["unit"], r["qty"]) for r in rows] == [
+        (0, 2, "1", "насос", None, 2.0), (0, 3, "2", "клапан", None, 3.0), (1, 5, "7", "вентиль", None, 4.0),
+        (2, 7, "1", "труба", "м", 12.5), (3, 10, None, None, None, None), (4, 12, "9", "люк", None, 1.0),
+    ]
+
+
+def test_one_text_functions_equal_their_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tesserae.functions import text as T
+    from tesserae.operators import tables
+
+    texts = ["1 234,5 м", "-7.5", "1.234.567", "1,234.56", "1.234,56", "нет", "", "12 \u00a0345", "Масса ед., кг", "Тип, кВт", "тип изделия", "Наимено-\nвание", "Кол-во", "пог. м", "М²", "шт.", "т.", "№ п/п"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.number(F.col("t")).alias("n"), T.unit(F.col("t")).alias("u"), tables.header_field(F.col("t")).alias("f"))
+    for r in df.collect():
+        assert (tables.number_in(r["t"]), tables.unit_name(r["t"]), tables.field_of(r["t"])) == (r["n"], r["u"], r["f"])
