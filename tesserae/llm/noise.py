@@ -526,9 +526,6 @@ class LineModels:
     def __init__(self, furniture: Boosted, join: Boosted) -> None:
         self.furniture, self.join = furniture, join
 
-    def judge(self, text: str) -> tuple[Page, dict[int, list[str]], list[tuple[int, int, tuple]]]:
-        return self.judge_all([text])[0]
-
     def judge_all(self, texts: list[str]) -> list[tuple[Page, dict[int, list[str]], list[tuple[int, int, tuple]]]]:
         """For each text its page, its furniture lines with their kinds, and the hyphens at line ends with
         what the join classifier needs. The trees run once over the lines of all texts."""
@@ -663,13 +660,14 @@ class Scans:
 
     @cached_property
     def seen(self) -> DataFrame:
-        """(src, row_key, kinds, breaks, odd): of each text that may be noisy its furniture, its hyphens at line ends and its words off the lexicon."""
+        """(src, row_key, h, kinds, gone, breaks, odd): of each text (h is its hash) that may be noisy its kinds of furniture
+        and their places, its hyphens at line ends and its words off the lexicon."""
         models, ordinary = self.models, self.ordinary
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             skip = ordinary.value
             for b in batches:
-                kinds, cuts, odd = [], [], []
+                kinds, lost, cuts, odd = [], [], [], []
                 for part in chunks(b.column(2)):
                     texts = part.to_pylist()
                     joined, start, end, key, of = tokens(texts)
@@ -682,16 +680,22 @@ class Scans:
                     lined = [i for i, t in enumerate(texts) if t and _LINE.search(t)]
                     found: list[set[str]] = [set() for _ in texts]
                     open_: list[set[tuple]] = [set() for _ in texts]
+                    places: list[list[int]] = [[] for _ in texts]
                     for i, (_, gone, joins) in zip(lined, models.judge_all([tidy(texts[i]) for i in lined])):
                         found[i].update(x for k in gone.values() for x in k)
+                        places[i] = sorted(gone)
                         open_[i].update(key for *_, key in joins)
                     kinds += map(sorted, found)
+                    lost += places
                     cuts += [[dict(zip(_BREAK_NAMES, k)) for k in sorted(x)] for x in open_]
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(kinds, pa.list_(pa.string())), pa.array(cuts, _BREAKS), pa.array(odd, pa.list_(pa.string()))], ["src", "row_key", "kinds", "breaks", "odd"])
+                yield pa.record_batch([b.column(0), b.column(1), b.column(3), pa.array(kinds, pa.list_(pa.string())), pa.array(lost, pa.list_(pa.int32())), pa.array(cuts, _BREAKS), pa.array(odd, pa.list_(pa.string()))], ["src", "row_key", "h", "kinds", "gone", "breaks", "odd"])
 
-        rows = self.docs.select("src", "row_key", "text").mapInArrow(look, f"src string, row_key string, kinds array<string>, breaks array<struct<{BREAK.replace(' ', ': ').replace(',:', ',')}>>, odd array<string>")
+        rows = self._texts().mapInArrow(look, f"src string, row_key string, h bigint, kinds array<string>, gone array<int>, breaks array<struct<{BREAK.replace(' ', ': ').replace(',:', ',')}>>, odd array<string>")
         return checkpoint(rows.filter("size(kinds) > 0 or size(breaks) > 0 or size(odd) > 0"))
 
+    def _texts(self) -> DataFrame:
+        return self.docs.select("src", "row_key", "text", F.xxhash64("text").alias("h"))
+
     @cached_property
     def joined(self) -> DataFrame:
         """The different breaks (as in ``BREAK``) that part a word: what is known of their pieces is joined, not carried along."""
@@ -725,32 +729,34 @@ class Scans:
         lines of a paragraph joined by blanks; blank lines and ends of sentences before short lines
         keep paragraphs apart.
         """
-        models = self.models
-        # what is to be done to a text travels with it; it is at most its own distinct words and breaks
-        fix = self.seen.select("src", "row_key", F.explode("odd").alias("word")).join(self.wrong, "word").groupBy("src", "row_key").agg(F.collect_set(F.struct("word", "correction")).alias("fix"))
-        joins = self.seen.select("src", "row_key", F.explode("breaks").alias("b")).select("src", "row_key", "b.*").join(self.joined, list(_BREAK_NAMES), "left_semi").groupBy("src", "row_key").agg(F.collect_set(F.struct(*_BREAK_NAMES)).alias("joins"))
-        lines = self.seen.filter("size(kinds) > 0").select("src", "row_key").distinct()
-        todo = fix.join(joins, ["src", "row_key"], "full_outer").join(lines, ["src", "row_key"], "full_outer")
+        # what is to be done to a text travels with it; it is at most its own distinct words, lines and breaks
+        key = ["src", "row_key", "h"]
+        seen = self.seen.dropDuplicates(key)
+        fix = seen.select(*key, F.explode("odd").alias("word")).join(self.wrong, "word").groupBy(*key).agg(F.collect_list(F.struct("word", "correction")).alias("fix"))
+        joins = seen.select(*key, F.explode("breaks").alias("b")).select(*key, "b.*").join(self.joined, list(_BREAK_NAMES), "left_semi").groupBy(*key).agg(F.collect_list(F.struct(*_BREAK_NAMES)).alias("joins"))
+        lines = seen.filter("size(gone) > 0").select(*key, "gone")
+        todo = fix.join(joins, key, "full_outer").join(lines, key, "full_outer")
         # only the texts with noise are told apart from their copies
-        rows = self.docs.select("src", "row_key", "text").join(todo, ["src", "row_key"]).dropDuplicates(["src", "row_key", "text"])
+        rows = self._texts().join(todo, key).dropDuplicates(key)
 
         def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for t, fix, joins in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
-                    out.append(mended(t, {x["word"]: x["correction"] for x in fix or ()}, models, {tuple(x[n] for n in _BREAK_NAMES) for x in joins or ()}))
+                for t, fix, joins, gone in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                    out.append(mended(t, {x["word"]: x["correction"] for x in fix or ()}, set(gone or ()), {tuple(x[n] for n in _BREAK_NAMES) for x in joins or ()}))
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string())], ["src", "row_key", "text"])
 
-        return rows.select("src", "row_key", "text", "fix", "joins").mapInArrow(mend, "src string, row_key string, text string")
+        return rows.select("src", "row_key", "text", "fix", "joins", "gone").mapInArrow(mend, "src string, row_key string, text string")
 
 
 _BREAK_NAMES = tuple(x.split(" ")[0] for x in BREAK.split(", "))
 _BREAKS = pa.list_(pa.struct([(n, pa.string() if n in ("left", "right") else pa.bool_()) for n in _BREAK_NAMES]))
 
 
-def mended(text: str, fix: dict[str, str], models: LineModels, joins: set[tuple]) -> str:
-    page, gone, cuts = models.judge(tidy(text))
-    joined = {k: key in joins for k, _, key in cuts}
+def mended(text: str, fix: dict[str, str], gone: set[int], joins: set[tuple]) -> str:
+    """A text without the lines in gone (places among its full lines), with the breaks in joins closed and the words in fix replaced."""
+    page = Page(tidy(text))
+    joined = {k: break_key(page.lines[page.full[k]], page.lines[page.full[j]]) in joins for k, j in breaks(page, gone)}
     out: list[str] = []
     glue = ""
     place = {i: k for k, i in enumerate(page.full)}
