@@ -31,7 +31,8 @@ def build_session(app: str = "tesserae", master: str | None = None, **conf: str)
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
+    Only on a local master, as in tests, a folder of our own is set where the session names none; on a
+    cluster that is an error, as executors would not share it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -41,6 +42,8 @@ def shared_root(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if now is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tesserae-"))
         now = sc.getCheckpointDir()
     return now.rstrip("/")

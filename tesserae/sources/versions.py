@@ -96,9 +96,12 @@ class VersionedTable:
         v = self.version()
         return self.manifest(v)["properties"] if v else {}
 
-    def commit(self, after: int, added: list[str] = (), removed: list[str] = (), vectors: list[str] = (), properties: dict | None = None) -> int:
-        """Make version after + 1; CommitConflict if it exists."""
+    def commit(self, after: int, added: list[str] = (), removed: list[str] = (), vectors: list[str] = (), properties: dict | None = None, base: int | None = None) -> int:
+        """Make version after + 1; CommitConflict if it exists. It builds on version after, or on an earlier
+        base: what versions between the two did is then no part of it."""
         body = {"version": after + 1, "added": list(added), "removed": list(removed), "vectors": list(vectors), "properties": properties or {}}
+        if base is not None and base != after:
+            body["base"] = base
         return self._commit(after, body)
 
     def _commit(self, after: int, body: dict) -> int:
@@ -116,16 +119,18 @@ class VersionedTable:
         """The live files and the vectors over them, from the last checkpoint and the manifests since."""
         live: dict[str, None] = {}
         vectors: list[str] = []
-        begin = 0
         p = self._p(f"{self.path}/checkpoints")
         fs = p.getFileSystem(self._conf)
-        if fs.exists(p):
-            begin = max((v for v in (int(x.getPath().getName()[:-5]) for x in fs.listStatus(p)) if v <= version), default=0)
-        if begin:
-            have = json.loads(read_bytes(self.spark, f"{self.path}/checkpoints/{begin:012d}.json"))
+        saved = {int(x.getPath().getName()[:-5]) for x in fs.listStatus(p)} if fs.exists(p) else set()
+        chain = []
+        while version and version not in saved:
+            m = self.manifest(version)
+            chain.append(m)
+            version = m.get("base", version - 1)
+        if version:
+            have = json.loads(read_bytes(self.spark, f"{self.path}/checkpoints/{version:012d}.json"))
             live, vectors = dict.fromkeys(have["live"]), have["vectors"]
-        for v in range(begin + 1, version + 1):
-            m = self.manifest(v)
+        for m in reversed(chain):
             if m.get("rewrite"):
                 live, vectors = {}, []
             for f in m["removed"]:
@@ -186,6 +191,21 @@ class VersionedTable:
         rows, gone = self._rows(live), self._vectors(vectors)
         return rows if gone is None else rows.join(gone, ["_file", "_row"], "left_anti")
 
+    def replace(self, base: int, keys: DataFrame, by: str, rows: DataFrame, properties: dict | None = None, named: bool = True) -> int:
+        """One commit on top of base: rows are added, those present with one of the keys are gone.
+
+        named: base must be the newest version (CommitConflict if another writer was faster); else
+        newer versions are left aside.
+        """
+        data, vector = f"{self.path}/data/{uuid.uuid4().hex}", f"{self.path}/vectors/{uuid.uuid4().hex}"
+        rows.select(*self.schema.names).write.parquet(data)
+        vectors = []
+        if base:
+            self._present(base).join(keys.select(by).distinct(), by, "left_semi").select("_file", "_row").write.parquet(vector)
+            vectors = [vector]
+        after = base if named else self.version()
+        return self.commit(after, self._files(data), vectors=vectors, properties=properties, base=base)
+
     def append_parts(self, rows: DataFrame, part: Column, after: int, properties: dict | None = None) -> int:
         """One commit of rows written in partitions; where a row brings _file and _row, it supersedes that
         row: the data files are the deletion vector too."""

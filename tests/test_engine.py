@@ -21,6 +21,32 @@ def test_index_and_again(spark, tmp_path):
     assert t.read(1).filter("text like '%60%'").count() == 1
 
 
+def test_index_drops_what_is_gone_and_keeps_vectors(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Предел огнестойкости воздуховода")
+    (tmp_path / "t.csv").write_text("Поз.;Наименование;Ед.;Кол-во\n1;насос;шт;2\n2;клапан;шт;3\n")
+    (tmp_path / "m.py").write_text("def f():\n    return 1\n")
+    schema = spark.createDataFrame([], indexing.CHUNKS).schema
+    t = VersionedTable(spark, fresh_path(spark, "idx"), schema)
+    indexing.index(spark, str(tmp_path), t, Hashing(8))
+    at = indexing.Index(spark, t)
+    assert {(r["name"], r["qty"]) for r in at.read("rows").collect()} == {("насос", 2.0), ("клапан", 3.0)}
+    assert at.read("parents").count() == 1 and {r["source_path"][-5:]: r["chunk_count"] for r in at.read("files").collect()} == {"a.txt": 1, "t.csv": 2, "/m.py": 1}
+    first = {r["chunk_id"]: r["text"] for r in t.read().collect()}
+    assert any("Наименование: насос" in x.replace("наименование", "Наименование") for x in first.values()) and len(first) == 4
+    # an unchanged folder makes no version
+    version, report = indexing.index(spark, str(tmp_path), t, Hashing(8))
+    assert version == 1 and {r["outcome"] for r in report.collect()} == {"unchanged"}
+    (tmp_path / "m.py").unlink()
+    (tmp_path / "a.txt").write_text("  ")
+    # a writer dies after it wrote beside: nothing is seen of it
+    at.beside["files"].replace(at.named()["files"], at.read("files"), "source_path", at.read("files").limit(0), named=False)
+    version, report = indexing.index(spark, str(tmp_path), t, Hashing(8))
+    assert version == 2 and {r["source_path"][-5:]: r["outcome"] for r in report.collect()} == {"a.txt": "empty", "t.csv": "unchanged", "/m.py": "deleted"}
+    assert t.read().count() == 2 and {r["source_path"][-5:] for r in at.read("files").collect()} == {"a.txt", "t.csv"}
+    version, report = indexing.index(spark, str(tmp_path), t, Hashing(8))
+    assert version == 2
+
+
 def test_tools(spark):
     from conftest import DATA
 
