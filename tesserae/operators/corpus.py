@@ -90,8 +90,9 @@ def keep_first(rows: DataFrame, same: list[str], id: str) -> DataFrame:
 
 
 def duplicate_stats(rows: DataFrame, same: list[str]) -> DataFrame:
-    """One row: how many groups of equal rows, and how many rows are too many."""
-    g = rows.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1")
+    """One row: how many groups of equal rows, and how many rows are too many. Rows meet by a digest, not by their texts."""
+    digest = F.sha2(F.to_json(F.struct(*same)), 256)
+    g = rows.select(digest.alias("_d")).groupBy("_d").agg(F.count("*").alias("n")).filter("n > 1")
     return g.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows"))
 
 
@@ -129,7 +130,10 @@ def summary(files: DataFrame) -> DataFrame:
 
 
 def drift(stored: DataFrame, fresh: DataFrame, cosine: Column) -> DataFrame:
-    """(n, least, median, verdict) of cosines of stored vectors to fresh ones: PASS from .998 and .999, WARN from .99."""
+    """(n, least, median, verdict) of cosines of stored vectors to fresh ones: PASS from .998 and .999, WARN from .99.
+
+    The median is of cosines with six decimals, so that what is counted for it has at most two million values.
+    """
     j = stored.join(fresh, "chunk_id").withColumn("c", cosine).filter("c is not null")
-    a = j.agg(F.count("*").alias("n"), F.min("c").alias("least"), F.expr("percentile(c, 0.5)").alias("median"))
+    a = j.agg(F.count("*").alias("n"), F.min("c").alias("least"), F.expr("percentile(round(c, 6), 0.5)").alias("median"))
     return a.withColumn("verdict", F.when(F.col("n") == 0, "EMPTY").when((F.col("least") >= 0.998) & (F.col("median") >= 0.999), "PASS").when(F.col("least") >= 0.99, "WARN").otherwise("FAIL"))

@@ -113,13 +113,7 @@ def labeled_values(spark, d):
 
 
 def quote_locator(spark, d):
-    docs = load(spark, d, "documents")
-    quotes = docs.filter("length(text) > 300 and lang = 'ru'").orderBy("doc_id").select("doc_id", F.substring("text", 1, 300).alias("t")).limit(5).collect()
-    pages = docs.filter("text is not null").select("doc_id", "text")
-    return extract.locate(pages, [(r["doc_id"], r["t"]) for r in quotes], "doc_id", "text").select("quote_id", "doc_id", F.col("place").cast("long").alias("place"))
-
-
-def quotes_located(spark, d):
+    """Every document whose id is divisible by 100 as a quote, looked for in all documents."""
     pages = load(spark, d, "documents").select("doc_id", "text")
     r = extract.locate_all(pages, pages.filter("doc_id % 100 = 0"), "doc_id", "text", "doc_id")
     return r.select("quote_id", "doc_id", F.col("probe_words").cast("long").alias("probe_words"), F.col("place").cast("long").alias("place"))
@@ -189,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         table_rows, sum_table_values, count_table_values, totals_by_unit, mixed_units_status, field_fallback, group_by_column, rows_by_section, column_signature_groups, table_page, section_near_miss,
-        header_mapping, parsed_grids, one_file_per_document, to_number_ru, normalise_unit, format_total, section_forward_fill, labeled_values, quote_locator, quotes_located, chunk_windows, chunk_parent_child,
+        header_mapping, parsed_grids, one_file_per_document, to_number_ru, normalise_unit, format_total, section_forward_fill, labeled_values, quote_locator, chunk_windows, chunk_parent_child,
         heading_split, textualise_rows, eval_cases, eval_metrics, eval_repeats, eval_unstable, eval_gates, eval_arms,
     )
 }
@@ -292,16 +286,11 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec, ps) - 1 AS
 c AS (SELECT doc_id, pno, s, p[s:s + 149] AS c FROM (SELECT *, unnest(range(1, greatest(1, len(p) - 20) + 1, 130)) AS s FROM n)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pno, s) - 1 AS cno, substr(sha256(doc_id::VARCHAR), 1, 8) AS h FROM c)
 SELECT doc_id, h || '_p_' || lpad(pno::VARCHAR, 4, '0') AS parent_id, h || '_c_' || lpad(cno::VARCHAR, 4, '0') AS chunk_id, md5(array_to_string(c, ' ')) AS digest FROM k""",
-    "quotes_located": r"""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x{A0}\x{202F}\x{2009}]+', ' ', 'g'))) AS t FROM documents WHERE text IS NOT NULL),
+    "quote_locator": r"""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x{A0}\x{202F}\x{2009}]+', ' ', 'g'))) AS t FROM documents WHERE text IS NOT NULL),
 q AS (SELECT doc_id AS quote_id, list_filter(string_split(t, ' '), lambda w: len(w) > 0) AS w FROM n WHERE doc_id % 100 = 0),
 p AS (SELECT quote_id, k, array_to_string(w[least(3, len(w) - k) + 1:least(3, len(w) - k) + k], ' ') AS p FROM q, (SELECT unnest([12, 8, 5]) AS k) WHERE len(w) >= k),
 h AS (SELECT quote_id, doc_id, k FROM p JOIN n ON contains(t, p)), b AS (SELECT * FROM h QUALIFY k = max(k) OVER (PARTITION BY quote_id))
 SELECT quote_id, doc_id, k::BIGINT AS probe_words, row_number() OVER (PARTITION BY quote_id ORDER BY doc_id) AS place FROM b QUALIFY place <= 3""",
-    "quote_locator": r"""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '[\s\x{A0}\x{202F}\x{2009}]+', ' ', 'g'))) AS t FROM documents WHERE text IS NOT NULL),
-q AS (SELECT doc_id AS quote_id, list_filter(string_split(lower(trim(regexp_replace(substr(text, 1, 300), '[\s\x{A0}\x{202F}\x{2009}]+', ' ', 'g'))), ' '), lambda w: len(w) > 0) AS w FROM documents WHERE length(text) > 300 AND lang = 'ru' ORDER BY doc_id LIMIT 5),
-p AS (SELECT quote_id, k, array_to_string(w[least(3, len(w) - k) + 1:least(3, len(w) - k) + k], ' ') AS p FROM q, (SELECT unnest([12, 8, 5]) AS k) WHERE len(w) >= k),
-h AS (SELECT quote_id, doc_id, k FROM p JOIN n ON contains(t, p)), b AS (SELECT * FROM h QUALIFY k = max(k) OVER (PARTITION BY quote_id))
-SELECT quote_id, doc_id, row_number() OVER (PARTITION BY quote_id ORDER BY doc_id) AS place FROM b QUALIFY place <= 3""",
     "heading_split": r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(#{1,3} )', chr(1) || '\1', 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL),
 f AS (SELECT doc_id, list_filter(s, lambda x: len(trim(x, ' ')) > 0) AS s FROM t), u AS (SELECT doc_id, unnest(list_zip(range(0, len(s)), s)) AS x FROM f) SELECT doc_id, x[1]::BIGINT AS no, md5(x[2]) AS digest FROM u""",
     "textualise_rows": f"WITH {_TT} SELECT doc_id, line_no, array_to_string(list_filter(list_transform(range(1, len(headers) + 1), lambda i: CASE WHEN len(cells[i]) > 0 THEN headers[i] || ': ' || cells[i] END), lambda x: x IS NOT NULL), '. ') AS line FROM tt",

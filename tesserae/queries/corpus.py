@@ -59,7 +59,7 @@ def orphan_check(spark, d):
 
 
 def missing_rules(spark, d):
-    files = current_files(load(spark, d, "files")).filter("dataset = 'normative'").select("source_path")
+    files = current_files(load(spark, d, "files")).select("source_path")
     return corpus.missing(files, load(spark, d, "extracted_values").filter("source_path is not null"))
 
 
@@ -116,7 +116,7 @@ def source_counts(spark, d):
 def embedding_drift(spark, d):
     from tesserae.functions.vectors import cosine
 
-    c = chunks(spark, d).filter("vector is not null and md5(chunk_id) < '03'").select("chunk_id", "vector")
+    c = chunks(spark, d).filter("vector is not null").select("chunk_id", "vector")
     fresh = c.select("chunk_id", F.transform("vector", lambda x: F.round(x, 2)).alias("fresh"))
     return corpus.drift(c, fresh, cosine(F.col("vector"), F.col("fresh"))).select("n", F.round("least", 5).alias("least"), F.round("median", 5).alias("median"), "verdict")
 
@@ -190,7 +190,7 @@ SELECT a AS doc_id_a, b AS doc_id_b, round(max(s), 6) AS similarity FROM (SELECT
     "orphan_check": f"""WITH {_CUR}, f AS (SELECT * FROM cur WHERE status <> 'failed'), p AS (SELECT DISTINCT source_path FROM parent_chunks WHERE source_path IS NOT NULL), v AS (SELECT DISTINCT source_path FROM documents_64 WHERE source_path IS NOT NULL)
 SELECT 'orphan_parents' AS kind, source_path FROM p ANTI JOIN f USING (source_path) UNION ALL SELECT 'orphan_vectors', source_path FROM v ANTI JOIN f USING (source_path)
 UNION ALL SELECT 'missing_vectors', source_path FROM (SELECT * FROM f WHERE chunk_count > 0) ANTI JOIN v USING (source_path) UNION ALL SELECT 'reindexing', source_path FROM f WHERE status = 'reindexing'""",
-    "missing_rules": f"WITH {_CUR} SELECT source_path FROM cur ANTI JOIN extracted_values USING (source_path) WHERE dataset = 'normative'",
+    "missing_rules": f"WITH {_CUR} SELECT source_path FROM cur ANTI JOIN extracted_values USING (source_path)",
     "cache_split": f"WITH c AS (SELECT * FROM {CH}), k AS (SELECT sha256(text) AS h, min(chunk_id) AS v FROM c WHERE md5(chunk_id) < '8' GROUP BY 1), j AS (SELECT x.chunk_id, y.chunk_id AS v FROM c x LEFT JOIN k ON sha256(x.text) = k.h LEFT JOIN (SELECT chunk_id FROM c WHERE vector IS NOT NULL) y ON y.chunk_id = k.v) SELECT v IS NOT NULL AS reused, count(*) AS chunks, count(DISTINCT v) AS vectors FROM j GROUP BY 1",
     "exact_duplicates": f"WITH {_CUR}, g AS (SELECT {_key} AS sha256, count(DISTINCT source_path) AS files FROM cur GROUP BY 1) SELECT sha256, files, files - 1 AS wasted FROM g WHERE sha256 IS NOT NULL AND files > 1",
     "version_families": f"WITH {_CUR} SELECT {_family} AS family, count(DISTINCT source_path) AS files, count(DISTINCT {_key}) AS contents FROM cur GROUP BY 1 HAVING count(DISTINCT source_path) > 1",
@@ -204,8 +204,8 @@ a AS (SELECT *, CASE WHEN n = 2 AND formats = 'docx,pdf' THEN CASE WHEN rp IS NO
     "replace_document": f"""WITH b AS (SELECT doc_id, chunk_id, text FROM {CH}), x AS (SELECT min(doc_id) AS x FROM b), n AS (SELECT doc_id, chunk_id, text FROM b, x WHERE doc_id IS DISTINCT FROM x UNION ALL SELECT doc_id, chunk_id, upper(text) FROM b, x WHERE doc_id = x AND chunk_id LIKE '%0')
 SELECT doc_id, count(*) AS chunks, sum(len(text))::BIGINT AS chars, min(md5(text)) AS digest FROM n GROUP BY 1""",
     "source_counts": "SELECT source_path, count(*) AS rows FROM documents_64 GROUP BY 1",
-    "embedding_drift": f"""WITH c AS (SELECT vector::DOUBLE[] AS v, list_transform(vector, lambda x: round(x, 2))::DOUBLE[] AS w FROM {CH} WHERE vector IS NOT NULL AND md5(chunk_id) < '03'),
-d AS (SELECT list_cosine_similarity(v, w) AS c FROM c WHERE list_dot_product(v, v) > 0 AND list_dot_product(w, w) > 0), a AS (SELECT count(*) AS n, min(c) AS l, median(c) AS m FROM d)
+    "embedding_drift": f"""WITH c AS (SELECT vector::DOUBLE[] AS v, list_transform(vector, lambda x: round(x, 2))::DOUBLE[] AS w FROM {CH} WHERE vector IS NOT NULL),
+d AS (SELECT list_cosine_similarity(v, w) AS c FROM c WHERE list_dot_product(v, v) > 0 AND list_dot_product(w, w) > 0), a AS (SELECT count(*) AS n, min(c) AS l, median(round(c, 6)) AS m FROM d)
 SELECT n, round(l, 5) AS least, round(m, 5) AS median, CASE WHEN n = 0 THEN 'EMPTY' WHEN l >= 0.998 AND m >= 0.999 THEN 'PASS' WHEN l >= 0.99 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM a""",
     "route_domains": f"WITH s AS (SELECT doc_id, unnest([{', '.join(f'''{{'d': '{d.name}', 'p': {_points(d)}}}''' for d in routing.DOMAINS)}]) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, s.d AS domain, s.p::BIGINT AS points, round(s.p::DOUBLE / sum(s.p) OVER (PARTITION BY doc_id), 4) AS confidence FROM s QUALIFY sum(s.p) OVER (PARTITION BY doc_id) > 0 AND row_number() OVER (PARTITION BY doc_id ORDER BY s.p DESC, s.d) = 1",
     "coalesce_events": f"WITH {_ev} SELECT path, arg_max(action, {{'a': ts, 'b': seq}}) AS action, min(priority) AS priority, count(*) AS events FROM p GROUP BY 1",

@@ -231,7 +231,10 @@ NOW = "2025-02-01 00:00:00"
 
 
 def semantic_cache_lookup(spark, d):
-    r = retrieval.cache_lookup(_cache(spark, d), "вопрос  нет", first_vector(spark, d), "project", F.lit("2100-01-01").cast("timestamp"), newest=10_000_000, least=0.3)
+    """The entry nearest to a question with the newest entry's vector, among the newest of a scope, as the operator has it by default."""
+    c = _cache(spark, d)
+    newest = c.filter("scope = 'project'").orderBy(F.desc("created_at"), F.desc("id")).select("vector").first()
+    r = retrieval.cache_lookup(c, "вопрос  нет", list(newest[0]) if newest else [1.0], "project", F.lit("2100-01-01").cast("timestamp"))
     return r.select("id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -358,7 +361,7 @@ SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY seg
 g AS (SELECT query_id, count(*) AS n, max(s) FILTER (rank <= 5) AS best, arg_min(s, rank) AS f, arg_max(s, rank) FILTER (rank <= 5) AS l FROM p GROUP BY 1),
 r AS (SELECT query_id, CASE WHEN n <= 5 THEN 'too_few_candidates' WHEN best < 0.45 THEN 'weak_scores' WHEN f - l < 0.04 AND f < 0.7 THEN 'ambiguous_scores' ELSE 'not_needed' END AS reason FROM g)
 SELECT query_id, reason, reason IN ('weak_scores', 'ambiguous_scores') AS apply FROM r""",
-    "semantic_cache_lookup": f"WITH {_CACHE} SELECT id, round(c, 6) AS similarity FROM (SELECT *, list_cosine_similarity(vector::DOUBLE[], {Q}) AS c FROM cache WHERE scope = 'project' AND {LIVE}) WHERE c >= 0.3 ORDER BY round(c, 9) DESC, created_at DESC, id DESC LIMIT 1",
+    "semantic_cache_lookup": f"WITH {_CACHE}, live AS (SELECT * FROM cache WHERE scope = 'project' ORDER BY created_at DESC, id DESC LIMIT 500), q AS (SELECT vector::DOUBLE[] AS q FROM live ORDER BY created_at DESC, id DESC LIMIT 1) SELECT id, round(c, 6) AS similarity FROM (SELECT *, list_cosine_similarity(vector::DOUBLE[], q) AS c FROM live, q WHERE {LIVE}) WHERE c >= 0.94 ORDER BY round(c, 9) DESC, created_at DESC, id DESC LIMIT 1",
     "cache_evict": f"WITH {_CACHE} SELECT id FROM cache WHERE created_at >= TIMESTAMPTZ '{NOW}+00' - INTERVAL 14 DAY ORDER BY created_at DESC, id DESC LIMIT 500",
     "maxsim_late_interaction": f"""WITH c AS (SELECT doc_id, chunk_id, vector::DOUBLE[] AS v FROM {CH} WHERE vector IS NOT NULL), q AS (SELECT chunk_id AS i, v AS q FROM c ORDER BY chunk_id LIMIT 4),
 b AS (SELECT doc_id, i, max(list_cosine_similarity(v, q)) AS b FROM c, q WHERE list_dot_product(v, v) > 0 GROUP BY ALL) SELECT doc_id, round(avg(b), 5) AS maxsim FROM b GROUP BY 1""",
