@@ -33,6 +33,25 @@ def coalesced(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max_by("action", F.struct("ts", "seq")).alias("action"), F.min("priority").alias("priority"), F.count("*").alias("events"), F.max("ts").alias("ts"))
 
 
+def source(spark, folder: str, schema: str, most_files: int = 100, most_bytes: str | None = None) -> DataFrame:
+    """File events of a folder as a bounded stream: no micro-batch takes more than that many files or bytes,
+    what is over waits in the folder."""
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files)
+    return (r.option("maxBytesPerTrigger", most_bytes) if most_bytes else r).parquet(folder)
+
+
+def under_pressure(tasks: DataFrame, most: int) -> DataFrame:
+    """tasks (path, priority, ts, ...) with run_now: urgent ones always, deferred ones only as far as more than
+    most tasks wait, the oldest first. Counts come from classes, so no task holds the whole queue."""
+    waiting = tasks.agg(F.greatest(F.count("*") - most, F.lit(0)).cast("double").alias("_over"), F.count(F.when(F.col("priority") == LATER, 1)).alias("_later"))
+    share = waiting.select("_over", F.when(F.col("_later") > 0, F.least(F.lit(1.0), F.col("_over") / F.col("_later"))).otherwise(0.0).alias("_share")).first()
+    if not share["_share"]:
+        return tasks.withColumn("run_now", F.col("priority") == IMMEDIATE)
+    # the time up to which deferred tasks are let through
+    cut = tasks.filter(F.col("priority") == LATER).agg(F.percentile_approx(F.unix_micros("ts"), share["_share"], 100_000).alias("t")).first()["t"]
+    return tasks.withColumn("run_now", (F.col("priority") == IMMEDIATE) | (F.unix_micros("ts") <= cut))
+
+
 def run_queue(events: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, deferred: bool = False) -> StreamingQuery:
     """Each micro-batch's tasks of one class, coalesced, given to work one batch at a time; ends with what is there.
 

@@ -149,3 +149,38 @@ def test_vocabulary_of_files(tmp_path):
     assert routing.route("обратный клапан", domains=v.domains).name == "a"
     assert vocabulary.load_vocabulary(tmp_path / "none.json").domains == routing.DOMAINS
     assert vocabulary.label_hint("Какая  потеря давления?") == "Потеря давления" and vocabulary.label_hint("расход") is None
+
+
+def test_second_store(spark):
+    from tesserae.sources import points
+
+    pay = lambda **k: {"node_role": "evidence", **k}
+    rows = [
+        ("1", [1.0, 0.0], pay(text="а", doc_type="NORMATIVE", file_name="x/n.pdf", context_before="до", doc_id="d")),
+        ("2", [0.9, 0.1], pay(text="б", doc_type="PROJECT", file_name="y\\p.pdf")), ("3", [0.0, 1.0], pay(text="в")), ("4", [1.0, 0.0], {"node_role": "summary", "text": "г"}), ("5", None, None),
+    ]
+    p = spark.createDataFrame(rows, "id string, vector array<double>, payload map<string,string>")
+    got = points.search(p, [1.0, 0.0], spark.createDataFrame([("3", 5.0), ("4", 9.0)], "id string, bm25 double"), 2).collect()
+    assert {r["chunk_id"] for r in got} <= {"1", "2", "3"} and len(got) == 2
+    assert [r["chunk_id"] for r in points.search(p, [1.0, 0.0], None, 5, "normative").collect()] == ["1"]
+    one = points.search(p, [1.0, 0.0], None, 5, "project").collect()
+    assert [(r["chunk_id"], r["file_name"]) for r in one] == [("2", "p.pdf"), ("3", "")]
+    r = points.rows(p.filter("id = '1'").withColumn("score", F.lit(0.12345))).first()
+    assert (r["text"], r["child_text"], r["context_source"], r["parent_id"], r["score"]) == ("до\nа", "а", "window", "1", 0.1235)
+
+
+def test_a_queue_under_pressure(spark, tmp_path):
+    from tesserae.streaming import events
+
+    df = spark.createDataFrame([(f"p{i}", int(i % 4 != 0), f"2025-01-01 00:00:{i:02d}") for i in range(20)], "path string, priority int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    run = lambda most: {r["path"] for r in events.under_pressure(df, most).filter("run_now").collect()}
+    urgent = {f"p{i}" for i in range(0, 20, 4)}
+    assert run(20) == run(100) == urgent and run(0) == {f"p{i}" for i in range(20)}
+    some = run(17)
+    assert urgent | {"p1", "p2", "p3"} == some
+    for i in range(5):
+        df.limit(2).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sizes = []
+    q = events.source(spark, str(tmp_path / "in"), "path string, priority int, ts timestamp", 2).writeStream.foreachBatch(lambda b, n: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sizes == [4, 4, 2]
