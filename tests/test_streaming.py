@@ -1,4 +1,5 @@
 import json
+import os
 
 from tesserae.streaming import events as ev
 
@@ -7,7 +8,10 @@ SCHEMA = "path string, ts timestamp, seq bigint, action string, size bigint"
 
 def feed(tmp_path, name, rows):
     (tmp_path / "in").mkdir(exist_ok=True)
-    (tmp_path / "in" / name).write_text("\n".join(json.dumps(r) for r in rows))
+    file = tmp_path / "in" / name
+    file.write_text("\n".join(json.dumps(r) for r in rows))
+    # a source takes older files first; files of one moment would come in any order
+    os.utime(file, (1_700_000_000 + int(name[0]),) * 2)
 
 
 def row(path, minute, seq, action, size=1):
